@@ -22,7 +22,7 @@ from semloom.llm.common import text_of, written
 WINDOW = 8
 LITERALS = 4
 SHARE = 0.5
-#: Rows of benchmark windows up to which they are broadcast (about 40 bytes each); beyond, Spark shuffles.
+#: Benchmark windows, and ids of documents with hits, up to which they are broadcast (about 40 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 #: Units that may follow a number.
 UNITS = "kg|mg|g|lb|lbs|oz|km|cm|mm|m|mi|ft|in|yd|l|ml|s|ms|sec|min|h|hr|hrs|hour|hours|minute|minutes|second|seconds|day|days|week|weeks|month|months|year|years|mph|kmh|usd|eur|dollars|cents|euros|percent|meters|metres|miles|feet|inches|grams|kilograms|kilometers|kilometres|liters|litres|degrees"
@@ -78,7 +78,9 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: flo
     found = hits.join(F.broadcast(side) if few else side, "h")
     found = found.withColumn("shift", F.col("pos") - F.col("ipos"))
     # slots of the documents that have hits, at the hits
-    texts = docs.join(hits.select("doc_id").distinct(), "doc_id", "left_semi").select("doc_id", valued(text_of()).alias("words"))
+    ids = written(hits.select("doc_id").distinct(), "hitdocs")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids  # so that only their texts move, not all
+    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", valued(text_of()).alias("words"))
     paired = found.where(F.exists("slots", lambda w: w.rlike(f"^{SLOT}")))
     paired = paired.join(texts, "doc_id").withColumn("own", F.slice("words", F.col("pos") + 1, F.lit(n)))
     slot = paired.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "own")).alias("z"))
