@@ -1,7 +1,7 @@
 """Quality rules by tokeniser fertility.
 
-A public SentencePiece vocabulary with byte fallback splits every word of a text. Three measures follow: characters
-per token, the share of byte-fallback tokens, and the entropy of the tokens (bits, relative to the log of the token count). Each has
+A public SentencePiece vocabulary with byte fallback splits every word of a text. Three measures follow, over words without digits or @ (numbers and addresses have their own
+fertility): letters per token, the share of byte-fallback tokens, and the entropy of the tokens (bits, relative to the log of the token count). Each has
 a rejection band for each language (for each script where the language is null), fixed by the
 distribution over all documents that pass the base rules: median +- WIDTH spreads, a spread being
 the distance from the median to the 10 % or the 90 % quantile, at least a floor. A short
@@ -13,6 +13,8 @@ tables give no rows. lang is used for the bands alone; other columns pass throug
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,6 +30,7 @@ SHORT = 60.0
 FLOORS = {"chars_per_token": 0.08, "byte_share": 0.03, "entropy": 0.04}
 SPACES = np.zeros(256, bool)
 SPACES[[0x20, *range(0x09, 0x0E)]] = True
+NUMERIC = re.compile("[0-9@]")
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
 #: First code point, last code point and name of the scripts told apart where the language is null.
@@ -79,6 +82,7 @@ class Meter:
 
     def reset(self):
         self.words, self.ids = WordTable(), Ragged()
+        self.letters = Ragged(np.int16)  # a number for each word
 
     def measure(self, text: str) -> tuple:
         raw = text.encode("utf-8", "surrogatepass")
@@ -92,7 +96,10 @@ class Meter:
             self.reset()
         rows = self.words.rows(words)
         if self.words.fresh:
-            self.ids.extend(self.model.encode([w.decode("utf-8", "replace") for w in self.words.fresh], num_threads=1))
+            fresh = [w.decode("utf-8", "replace") for w in self.words.fresh]
+            plain = ["" if NUMERIC.search(w) else w for w in fresh]
+            self.ids.extend(self.model.encode(plain, num_threads=1))
+            self.letters.extend([min(sum(map(str.isalpha, w)), 32767)] for w in plain)
             self.words.fresh = []
         ids = self.ids.gather(rows)
         n = len(ids)
@@ -100,7 +107,8 @@ class Meter:
         counts = np.unique(ids, return_counts=True)[1] if n < 4096 else np.bincount(ids)
         p = counts[counts > 0] / max(n, 1)
         entropy = float(-(p * np.log2(p)).sum() / np.log2(n)) if n > 1 else 0.0
-        return len(words), word_chars, symbols, dup_lines(text), repeat_words(rows), n, word_chars / max(n, 1), share, entropy
+        letters = int(self.letters.gather(rows).sum(dtype=np.int64))
+        return len(words), word_chars, symbols, dup_lines(text), repeat_words(rows), n, letters / max(n, 1), share, entropy
 
 
 _METERS: dict[str, Meter] = {}

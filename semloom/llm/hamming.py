@@ -46,14 +46,14 @@ def gray_rank(fp):
 
 
 def node_rows(values: DataFrame, blocks: int, k: int, limit: int, levels: int = 3) -> DataFrame:
-    """(mask, part, and the columns of values) for each node that a value `fp` belongs to.
+    """(top, mask, part, and the columns of values) for each node that a value `fp` belongs to; top: which of top_masks() the node stems from.
 
     Nodes of more than `limit` values are split over their free bits, up to `levels` times.
     Every pair of values within k differing bits shares at least one node.
     """
     spark = values.sparkSession
     masks = top_masks(blocks, blocks - k)
-    rows = values.withColumn("mask", F.explode(F.array(*[F.lit(signed(m)) for m in masks])))
+    rows = values.select("*", F.posexplode(F.array(*[F.lit(signed(m)) for m in masks])).alias("top", "mask"))
     rows = rows.withColumn("part", F.col("fp").bitwiseAND(F.col("mask")))
     done = []
     for _ in range(levels):

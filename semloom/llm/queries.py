@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from semloom.llm import fertility_rules, ngram_svm, ring_sharding, simhash_neardup, soft_mixing, template_decontam
+from semloom.llm import (
+    fertility_rules,
+    fuzzy_lines,
+    ngram_svm,
+    ring_sharding,
+    simhash_neardup,
+    skip_crf,
+    soft_mixing,
+    string_kernel,
+    template_decontam,
+    token_orc,
+)
 from semloom.llm.common import documents
 
 #: Token shares of the mixture's domains.
@@ -45,10 +56,28 @@ def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return template_decontam.contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op5_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzy_lines.dedup_lines(documents(spark, sf_dir))
+
+
+def op6_skip_chain_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return skip_crf.personal_data(documents(spark, sf_dir))
+
+
+def op7_orc_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_orc.round_trip(documents(spark, sf_dir))
+
+
 def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fertility_rules.quality(documents(spark, sf_dir))
 
 
+def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    learn = labels(spark, sf_dir).where(bucket(5) != 0).select("doc_id", F.col("toxic").alias("label"))
+    out = string_kernel.toxicity(documents(spark, sf_dir), learn)
+    return out.select("doc_id", (bucket(5) == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_neardup.near_duplicates(documents(spark, sf_dir))
 
