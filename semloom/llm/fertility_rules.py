@@ -3,7 +3,7 @@
 A public SentencePiece vocabulary with byte fallback splits every word of a text. Three measures follow, over words without digits or @ (numbers and addresses have their own
 fertility): letters per token, the share of byte-fallback tokens, and the entropy of the tokens (bits, relative to the log of the token count). Each has
 a rejection band for each language (for each script where the language is null), fixed by the
-distribution over all documents that pass the base rules: median +- WIDTH spreads, a spread being
+distribution over all documents that pass the base rules: the median and WIDTHS spreads below and above, a spread being
 the distance from the median to the 10 % or the 90 % quantile, at least a floor. A short
 text scatters more: the band widens with SHORT / tokens.
 
@@ -24,8 +24,10 @@ from semloom.llm.common import small_batches, text_of, written
 from semloom.llm.token_cache import Ragged, WordTable
 
 VOCABULARY = "piece_bpe_32k.model"
-WIDTH = 4.0
 SHORT = 60.0
+#: Spreads below and above the median that each measure's band reaches. Symbols, capitals and split words lower the
+#: letters per token; few things raise them.
+WIDTHS = {"chars_per_token": (2.6, 8.0), "byte_share": (8.0, 8.0), "entropy": (4.0, 4.0)}
 #: Least spread of each measure.
 FLOORS = {"chars_per_token": 0.08, "byte_share": 0.03, "entropy": 0.04}
 SPACES = np.zeros(256, bool)
@@ -135,7 +137,7 @@ def base_failed():
     return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
 
 
-def quality(docs: DataFrame, vocabulary: str | None = None, width: float = WIDTH) -> DataFrame:
+def quality(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """Measures, base_failed, kept and the reasons of the bands, for every row of docs."""
     import public_tokenizers
 
@@ -149,8 +151,8 @@ def quality(docs: DataFrame, vocabulary: str | None = None, width: float = WIDTH
 
     def outside(c):
         q = F.col(f"q_{c}")
-        low = F.greatest(q[1] - q[0], F.lit(FLOORS[c])) * width * wide
-        high = F.greatest(q[2] - q[1], F.lit(FLOORS[c])) * width * wide
+        low = F.greatest(q[1] - q[0], F.lit(FLOORS[c])) * WIDTHS[c][0] * wide
+        high = F.greatest(q[2] - q[1], F.lit(FLOORS[c])) * WIDTHS[c][1] * wide
         return F.coalesce((F.col(c) < q[1] - low) | (F.col(c) > q[1] + high), F.lit(False))
 
     why = F.array_compact(F.array(*[F.when(outside(c), F.lit(c)) for c in names]))
