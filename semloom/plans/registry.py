@@ -4,14 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from semloom.plans import text_queries, vector_queries
+
+MODULES = (vector_queries, text_queries)
+
+
+def _all() -> dict:
+    return {name: pair for m in MODULES for name, pair in m.QUERIES.items()}
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """Cosine neighbours of every entity, re-ranked by their context."""
+    return vector_queries.rerank_context(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {name: f for name, (f, _) in _all().items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: sql for name, (_, sql) in _all().items() if sql}
