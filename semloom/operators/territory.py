@@ -1,0 +1,100 @@
+"""Nested layout of clusters in the plane: circles by force inside each parent, and clipped Voronoi cells."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def relax(x: np.ndarray, r: np.ndarray, pull: np.ndarray, radius: float, rounds: int = 190) -> np.ndarray:
+    """Centres of circles r inside a circle of `radius`: drawn to their start and by pull (n x n), pushed apart, cooled step by step."""
+    start, at = x.copy(), x.copy()
+    n = len(x)
+    for step in range(rounds):
+        heat = 1 - 0.82 * step / max(1, rounds - 1)
+        gap = at[None] - at[:, None]
+        d = np.sqrt((gap**2).sum(2)) + 1e-9
+        need = r[:, None] + r[None]
+        spring = (pull * np.maximum(0, d - need))[..., None] * gap / d[..., None] * 0.05
+        push = (np.maximum(0, need * 1.02 - d) / d)[..., None] * gap * -0.5
+        push[np.arange(n), np.arange(n)] = 0
+        at = at + heat * ((start - at) * 0.05 + spring.sum(1) + push.sum(1))
+        far = np.sqrt((at**2).sum(1)) + 1e-12
+        at *= np.minimum(1, np.maximum(0, radius - r) / far)[:, None]
+    return at
+
+
+def circles(clusters: DataFrame, links: DataFrame, fill: float = 0.6) -> DataFrame:
+    """(parent, cluster, x, y, r): circles of all children in the unit circle of their parent, sized by n.
+
+    clusters: parent, cluster, n, x, y (the wanted place); links: parent, a, b, w. A parent's children are one group: there
+    are as many as clusters, not rows.
+    """
+
+    def work(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        left = left.sort_values("cluster")
+        if left.empty:
+            return pd.DataFrame({"parent": [], "cluster": [], "x": [], "y": [], "r": []})
+        n = left["n"].to_numpy(float)
+        r = np.sqrt(fill * n / n.sum()) if len(n) > 1 else np.array([0.9])
+        place = {c: i for i, c in enumerate(left["cluster"])}
+        pull = np.zeros((len(n), len(n)))
+        for a, b, w in zip(right["a"], right["b"], right["w"]):
+            if a in place and b in place:
+                pull[place[a], place[b]] = pull[place[b], place[a]] = w
+        x = left[["x", "y"]].to_numpy(float)
+        x = x - x.mean(0)
+        x = x / max(np.abs(x).max(), 1e-9) * 0.6 + np.column_stack([np.cos(np.arange(len(n)) * 2.4), np.sin(np.arange(len(n)) * 2.4)]) * 1e-3
+        at = relax(x, r, pull, 1.0)
+        return pd.DataFrame({"parent": key[0], "cluster": left["cluster"].to_numpy(), "x": at[:, 0], "y": at[:, 1], "r": r})
+
+    grouped = clusters.groupBy("parent").cogroup(links.groupBy("parent"))
+    return grouped.applyInPandas(work, "parent long, cluster long, x double, y double, r double")
+
+
+def clip(polygon: np.ndarray, normal: np.ndarray, limit: float) -> np.ndarray:
+    """The part of a convex polygon where normal . p <= limit."""
+    side = polygon @ normal - limit
+    out = []
+    for i in range(len(polygon)):
+        j = (i + 1) % len(polygon)
+        if side[i] <= 0:
+            out.append(polygon[i])
+        if (side[i] < 0 < side[j]) or (side[j] < 0 < side[i]):
+            t = side[i] / (side[i] - side[j])
+            out.append(polygon[i] + t * (polygon[j] - polygon[i]))
+    return np.array(out) if out else np.zeros((0, 2))
+
+
+def cells(points: DataFrame, group: str, frame: float = 1.0) -> DataFrame:
+    """(grp, id, cell array<struct<x, y>>): Voronoi cells of a group's points clipped to a square frame.
+
+    Neighbours are taken by rising distance until half the distance exceeds the cell's reach, so each cell is exact. Equal points are moved apart a little;
+    below three points cells are squares around them.
+    """
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        p = pdf[["x", "y"]].to_numpy(float).copy()
+        _, first = np.unique(p, axis=0, return_index=True)
+        for i in sorted(set(range(len(p))) - set(first.tolist())):
+            p[i] += 1e-5 * np.array([np.cos(i), np.sin(i)])
+        box = np.array([[-frame, -frame], [frame, -frame], [frame, frame], [-frame, frame]], float)
+        out = []
+        for i, c in enumerate(p):
+            if len(p) < 3:
+                poly = c + box * 0.018
+            else:
+                poly = box
+                d = np.sqrt(((p - c) ** 2).sum(1))
+                for j in np.argsort(d)[1:]:
+                    if not len(poly) or d[j] / 2 > np.sqrt(((poly - c) ** 2).sum(1)).max():
+                        break
+                    n = (p[j] - c) / max(d[j], 1e-12)
+                    poly = clip(poly, n, float(n @ ((p[j] + c) / 2)))
+            out.append([{"x": float(a), "y": float(b)} for a, b in poly])
+        return pd.DataFrame({"grp": pdf[group].to_numpy(), "id": pdf["id"].to_numpy(), "cell": out})
+
+    return points.groupBy(group).applyInPandas(work, "grp long, id long, cell array<struct<x:double,y:double>>")
