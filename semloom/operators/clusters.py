@@ -116,7 +116,7 @@ def balance(assigned: DataFrame) -> DataFrame:
     penalty = F.greatest(F.lit(0.0), hi - 1.8) * 12 + F.greatest(F.lit(0.0), 0.45 - lo) * 28 + F.col("islands") * 2.5
     return got.select(
         F.coalesce("average", F.lit(0.0)).alias("average"), F.coalesce(hi, F.lit(1.0)).alias("largest_ratio"),
-        F.coalesce(lo, F.lit(0.0)).alias("smallest_ratio"), F.coalesce(penalty, F.lit(80.0)).alias("penalty"),
+        F.coalesce(lo, F.lit(0.0)).alias("smallest_ratio"), F.when(F.col("average").isNull(), 80.0).otherwise(penalty).alias("penalty"),
     )
 
 
