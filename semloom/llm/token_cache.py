@@ -22,8 +22,8 @@ class WordTable(dict):
     def rows(self, words: list) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
 
-    def full(self) -> bool:
-        return len(self) > LIMIT
+    def full(self, limit: int = LIMIT) -> bool:
+        return len(self) > limit
 
 
 class Ragged:

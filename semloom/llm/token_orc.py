@@ -25,13 +25,21 @@ from semloom.llm.token_cache import Ragged, WordTable
 
 VOCABULARY = "word_bpe_49k.json"
 END = 2
+TAIL = ".,!?;:%$&*#|"
+JOINED = 256  # letter pieces in a call
+HELD = 600_000  # words in a worker's cache before it starts anew
 STRIPE = 16 << 20
 ROWS = 1000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
 
 
 class Encoder:
-    """Ids of texts. The vocabulary's pre-tokeniser never joins what ASCII white space parts, so words are encoded once and cached."""
+    """Ids of texts by the tokenizers library, each distinct piece encoded once and cached.
+
+    The vocabulary's pre-tokeniser never joins what ASCII white space parts, nor letters with marks behind them. A word is
+    letters and the marks in TAIL behind it where it has that form, else one piece. New letter pieces are encoded many
+    to a call, and told apart by the library's word numbers.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -40,20 +48,51 @@ class Encoder:
         self.reset()
 
     def reset(self):
-        self.words, self.ids = WordTable(), Ragged()
+        self.words, self.pieces, self.ids = WordTable(), WordTable(), Ragged()
+        self.parts, self.n = np.full((1 << 14, 2), -1, np.int32), 0  # a word's pieces
+
+    def encode_pieces(self, fresh: list[str]) -> list[list[int]]:
+        out: list = [None] * len(fresh)
+        plain = [i for i, p in enumerate(fresh) if p.isalpha()]
+        for at in range(0, len(plain), JOINED):
+            some = plain[at : at + JOINED]
+            made = self.model.encode(" ".join(fresh[i] for i in some), add_special_tokens=False)
+            number, ids = made.word_ids, np.array(made.ids, np.int32)
+            cut = np.flatnonzero(np.diff(number)) + 1
+            if len(cut) + 1 == len(some):
+                for i, x in zip(some, np.split(ids, cut)):
+                    out[i] = x
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, x in zip(rest, self.model.encode_batch([fresh[i] for i in rest], add_special_tokens=False)):
+            out[i] = x.ids
+        return out
 
     def encode(self, text: str) -> np.ndarray:
         words = text.encode("utf-8", "replace").split()
         if not words:
             return np.zeros(0, np.int32)
-        if self.words.full():
+        if self.words.full(HELD):
             self.reset()
         rows = self.words.rows(words)
-        if self.words.fresh:
-            made = self.model.encode_batch([w.decode("utf-8") for w in self.words.fresh], add_special_tokens=False)
-            self.ids.extend(x.ids for x in made)
+        if fresh := self.words.fresh:
+            while self.n + len(fresh) > len(self.parts):
+                self.parts = np.concatenate([self.parts, np.full_like(self.parts, -1)])
+            for i, raw in enumerate(fresh, self.n):
+                word = raw.decode("utf-8")
+                body = word.rstrip(TAIL)
+                if body and body.isalpha():
+                    self.parts[i, 0] = self.pieces[body.lower() if body.isascii() else body]
+                    if len(body) < len(word):
+                        self.parts[i, 1] = self.pieces[word[len(body) :]]
+                else:
+                    self.parts[i, 0] = self.pieces[word]
+            self.n += len(fresh)
             self.words.fresh = []
-        return self.ids.gather(rows)
+            if self.pieces.fresh:
+                self.ids.extend(self.encode_pieces(self.pieces.fresh))
+                self.pieces.fresh = []
+        flat = self.parts[rows].ravel()
+        return self.ids.gather(flat[flat >= 0])
 
 
 _ENCODERS: dict[str, Encoder] = {}
