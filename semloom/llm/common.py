@@ -45,6 +45,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def sample_texts(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
+    """ids' columns and text for the first `rows` distinct rows of ids (doc_id, ...) by a hash of doc_id; one text of each, however often a doc_id repeats."""
+    chosen = ids.where("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), *ids.columns).limit(rows)
+    found = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` rows
+    return found.groupBy(*ids.columns).agg(F.min("text").alias("text"))
+
+
 def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """(node, root) for every node of undirected edges (a, b): root is the smallest node reachable.
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semloom.llm.common import small_batches, text_of
+from semloom.llm.common import sample_texts, small_batches, text_of
 from semloom.llm.token_cache import WordTable
 
 BITS = 18
@@ -86,16 +86,14 @@ _INDICATORS = Indicators()
 def sample_indicators(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
     """(ids, labels) of at most `rows` rows of labelled (doc_id, label int)."""
     small_batches(docs.sparkSession)
-    chosen = labelled.where("label is not null and doc_id is not null").select("doc_id", "label")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
+    chosen = labelled.where("label is not null").select("doc_id", "label")
 
     def work(batches):
         for pdf in batches:
             yield pd.DataFrame({"label": pdf["label"], "ids": [_INDICATORS.of(t).tobytes() for t in pdf["text"]]})
 
     got = (
-        docs.select("doc_id", text_of().alias("text"))
-        .join(F.broadcast(chosen), "doc_id")  # at most `rows` rows
+        sample_texts(docs, chosen, rows)
         .select("label", "text")
         .mapInPandas(work, "label int, ids binary")
         .collect()

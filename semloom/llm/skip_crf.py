@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semloom.llm.common import small_batches, text_of
+from semloom.llm.common import sample_texts, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -99,17 +99,19 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
 
 
 def edges(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain pairs (one space apart), and skip pairs: consecutive tokens of the same core of three characters or more."""
+    """Chain pairs (one space apart), and skip pairs: consecutive tokens of the same core of three characters or more, or of the same six digits or more."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] == 1]
     last: dict[str, int] = {}
-    skip = []
+    skip = set()
     for i, (s, e) in enumerate(spans):
         core = CORE.sub("", text[s:e].lower())
-        if len(core) > 2:
-            if core in last and (last[core], i) not in chain[-1:]:
-                skip.append((last[core], i))
-            last[core] = i
-    return np.array(chain, np.int64).reshape(-1, 2), np.array(skip, np.int64).reshape(-1, 2)
+        digits = re.sub("[^0-9]", "", core)
+        for key in {core if len(core) > 2 else "", digits if len(digits) > 5 else ""} - {""}:
+            if key in last:
+                skip.add((last[key], i))
+            last[key] = i
+    pairs = sorted(skip - set(chain))
+    return np.array(chain, np.int64).reshape(-1, 2), np.array(pairs, np.int64).reshape(-1, 2)
 
 
 def gold(spans: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> np.ndarray:
@@ -207,8 +209,8 @@ def added(text: str, base: list[tuple[int, int, str]], field: Field) -> list[tup
 
 def fit(docs: DataFrame, rows: int = SAMPLE) -> Field | None:
     small_batches(docs.sparkSession)
-    some = docs.select("doc_id", text_of().alias("text")).where(F.col("text").rlike("[0-9@]"))
-    some = some.orderBy(F.xxhash64("doc_id"), "text").limit(rows)
+    some = docs.where(F.col("text").rlike("[0-9@]"))
+    some = sample_texts(some, some.select("doc_id"), rows)
 
     def work(batches):
         for pdf in batches:

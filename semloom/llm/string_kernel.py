@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from semloom.llm.common import small_batches, text_of, written
+from semloom.llm.common import sample_texts, small_batches, text_of, written
 from semloom.llm.token_cache import WordTable
 
 SAMPLE = 6000
@@ -245,10 +245,8 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE) -> tuple[Machi
     """(machine or None, share of toxic labels) from at most `rows` rows of labelled (doc_id, label)."""
     spark = docs.sparkSession
     small_batches(spark)
-    chosen = labelled.where("label is not null and doc_id is not null").select("doc_id", "label")
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    sample = docs.select("doc_id", text_of().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most `rows` rows
-    sample = written(sample.select("label", "text"), "labelled")
+    chosen = labelled.where("label is not null").select("doc_id", "label")
+    sample = written(sample_texts(docs, chosen, rows).select("label", "text"), "labelled")
 
     def units(batches):
         for pdf in batches:
