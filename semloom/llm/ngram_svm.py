@@ -32,26 +32,36 @@ EDGES = re.compile(r"^\W+|\W+$")
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
+def words_of(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").split()
+
+
 def word_codes(raw: bytes) -> tuple[int, int, int]:
     """Hashes of a word without its marks, of its beginning, and of its shape."""
     word = raw.decode("utf-8", "replace")
+    h = xxhash.xxh3_64_intdigest
+    body = word.rstrip(".,")
+    if body.isalpha() and body.islower():
+        return h(body) >> 1, h(body[:4], 1) >> 1, h("a" + word[len(body) :][:11], 2) >> 1
     bare = EDGES.sub("", word.lower()) or word
     shape = LETTERS.sub(lambda m: "A" if m[0].isupper() and len(m[0]) > 1 else "Aa" if m[0][0].isupper() else "a", word)
-    h = xxhash.xxh3_64_intdigest
     return h(bare) >> 1, h(bare[:4], 1) >> 1, h(re.sub(r"\d+", "9", shape)[:12], 2) >> 1
 
 
 class Indicators:
-    """Sorted ids below 2**BITS of the n-grams that a text has; word codes are cached in each worker."""
+    """Ids below 2**BITS of the n-grams that a text has, each once; word codes are cached in each worker."""
 
     def __init__(self):
         self.reset()
 
     def reset(self):
         self.words, self.codes, self.n = WordTable(), np.zeros((1 << 14, 3), np.int64), 0
+        self.place = np.zeros(1 << BITS, np.int32)  # where an id stood last in the text at hand
 
     def of(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "surrogatepass").split()
+        return self.of_words(words_of(text))
+
+    def of_words(self, words: list[bytes]) -> np.ndarray:
         if not words:
             return np.zeros(0, np.int32)
         if self.words.full():
@@ -73,11 +83,9 @@ class Indicators:
             triple = ((shape[:-2] * mix) ^ shape[1:-1]) * mix ^ shape[2:]
             ids = np.concatenate([bare, pair, begin, triple, shape]) * mix
         ids = (ids >> np.int64(20)) & np.int64((1 << BITS) - 1)
-        seen = np.zeros(1 << BITS, bool) if len(ids) > 1 << 14 else None
-        if seen is None:
-            return np.unique(ids).astype(np.int32)
-        seen[ids] = True
-        return np.flatnonzero(seen).astype(np.int32)
+        at = np.arange(len(ids), dtype=np.int32)
+        self.place[ids] = at
+        return ids[self.place[ids] == at].astype(np.int32)  # each id once
 
 
 _INDICATORS = Indicators()
@@ -144,8 +152,8 @@ class Model:
         self.offsets = np.array([b for _, b in fitted])
         self.ratios = np.stack([log_ratio(ids, y) for y in targets]).astype(np.float32)
 
-    def margins(self, text: str) -> np.ndarray:
-        ids = _INDICATORS.of(text)
+    def margins(self, words: list[bytes]) -> np.ndarray:
+        ids = _INDICATORS.of_words(words)
         if not len(ids):
             return self.offsets
         norm = np.sqrt((self.ratios[:, ids] ** 2).sum(1))
@@ -159,7 +167,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def work(batches):
         for pdf in batches:
-            m = np.array([sent.value.margins(t)[0] for t in pdf["text"]], np.float64)
+            m = np.array([sent.value.margins(words_of(t))[0] for t in pdf["text"]], np.float64)
             yield pdf[["doc_id"]].assign(score=1 / (1 + np.exp(-np.clip(2 * m, -60, 60))))
 
     return docs.select("doc_id", text_of().alias("text")).mapInPandas(work, "doc_id long, score double")

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semloom.llm.common import small_batches, text_of, written
-from semloom.llm.ngram_svm import SAMPLE, Model, sample_indicators
+from semloom.llm.ngram_svm import SAMPLE, Model, sample_indicators, words_of
 
 STEPS = 24
 WRITE_EVERY = 8
@@ -36,11 +36,12 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: i
 
     def work(batches):
         for pdf in batches:
-            m = np.array([sent.value.margins(t) for t in pdf["text"]], np.float64).reshape(len(pdf), -1)
+            words = [words_of(t) for t in pdf["text"]]
+            m = np.array([sent.value.margins(w) for w in words], np.float64).reshape(len(pdf), -1)
             p = 1 / (1 + np.exp(-np.clip(4 * m, -60, 60)))
             p /= np.maximum(p.sum(1, keepdims=True), 1e-30)
             out = pd.DataFrame(p, columns=names, index=pdf.index)
-            out.insert(0, "tokens", np.array([len(t.encode("utf-8", "surrogatepass").split()) for t in pdf["text"]], np.int64))
+            out.insert(0, "tokens", np.array([len(w) for w in words], np.int64))
             out.insert(0, "doc_id", pdf["doc_id"])
             yield out
 
