@@ -120,3 +120,30 @@ def test_embedding_cache_and_stream(spark, tmp_path):
         S.run(spark, str(tmp_path / "in"), str(tmp_path / "cache"), str(tmp_path / "state"), "m", E.hashing_provider(8)).awaitTermination(60)
     got = {r.hash: r.embedding for r in spark.read.parquet(str(tmp_path / "cache")).collect()}
     assert got == {r.hash: r.embedding for r in new.collect()} and spark.read.parquet(str(tmp_path / "cache")).count() == 2
+
+
+def test_providers_retry_halve_and_coerce(spark):
+    from semloom.operators import providers as P
+
+    seen = []
+
+    def flaky(items):
+        seen.append(len(items))
+        if "bad" in items:
+            raise ValueError
+        return ['x {"label": " A  b ", "confidence": 7} y'] * len(items)
+
+    assert P.ask(flaky, ["a", "bad", "c"], tries=1, wait=0)[1] is None and max(seen) == 3
+    a = spark.createDataFrame([(1, 'x {"label": " A  b ", "confidence": 7} y'), (2, "junk"), (3, '{"label": "c", "confidence": "often"}'), (4, None)], "id long, answer string")
+    got = {r.id: r for r in P.labels(a).collect()}
+    assert (got[1].label, got[1].confidence) == ("A b", 1.0) and got[2].label is None and got[3].confidence == 0.5 and got[4].label is None
+    p = spark.createDataFrame([(5, ["r"], ["g"], ["k"], ["t", "u"])], "id long, r array<string>, g array<string>, k array<string>, t array<string>")
+    prompts = p.select("id", P.evidence_prompt(F.col("id"), F.col("r"), F.col("g"), F.col("k"), F.col("t")).alias("prompt"))
+    assert P.labels(P.answers(prompts, P.template_labeler)).first()["label"] == "T U K"
+
+
+def test_reports(spark):
+    from semloom.operators import reports as M
+
+    text = M.report("Map", {"Sizes": spark.createDataFrame([("a|b", 1234, 0.5, None)], "name string, n long, share double, none string"), "Note": "fine"})
+    assert "| a\\|b | 1,234 | 0.500 | n/a |" in text and text.startswith("# Map") and M.percent(1, 0) == "0.0% (1/0)"
