@@ -30,32 +30,35 @@ class Ragged:
     """Arrays of different length, one for each row of a WordTable, in one flat array."""
 
     def __init__(self, dtype=np.int32):
-        self.flat, self.ends, self.n, self.used = np.zeros(1 << 16, dtype), np.zeros(1 << 14, np.int64), 0, 0
+        self.flat, self.used = np.zeros(1 << 16, dtype), 0
+        self.starts, self.sizes, self.n = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32), 0
 
-    def extend(self, arrays) -> None:
-        arrays = list(arrays)
-        if not arrays:
-            return
-        sizes = np.fromiter(map(len, arrays), np.int64, len(arrays))
-        total, n = int(sizes.sum()), len(arrays)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.n + n + 1 > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-        if total:
-            self.flat[self.used : self.used + total] = np.concatenate([np.asarray(a, self.flat.dtype) for a in arrays])
-        self.ends[self.n + 1 : self.n + n + 1] = self.used + np.cumsum(sizes)
-        self.used += total
+    def grow(self, n: int) -> int:
+        """Room for n more rows; returns the first of them. put() fills them, in any order."""
+        while self.n + n > len(self.starts):
+            self.starts, self.sizes = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.sizes))
         self.n += n
+        return self.n - n
 
-    def lengths(self, rows: np.ndarray) -> np.ndarray:
-        return self.ends[rows + 1] - self.ends[rows]
+    def put(self, rows: np.ndarray, flat: np.ndarray, sizes: np.ndarray) -> None:
+        """The arrays of these rows, one after the other in flat."""
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[rows] = self.used + np.cumsum(sizes) - sizes
+        self.sizes[rows] = sizes
+        self.used += len(flat)
+
+    def extend(self, arrays) -> None:
+        arrays = [np.asarray(a, self.flat.dtype) for a in arrays]
+        if arrays:
+            first = self.grow(len(arrays))
+            self.put(np.arange(first, self.n), np.concatenate(arrays), np.fromiter(map(len, arrays), np.int64, len(arrays)))
 
     def gather(self, rows: np.ndarray) -> np.ndarray:
         """The arrays of these rows, one after the other."""
-        size = self.lengths(rows)
-        total = int(size.sum())
-        if not total:
+        size = self.sizes[rows]
+        ends = np.cumsum(size)
+        if not len(rows) or not ends[-1]:
             return self.flat[:0]
-        shift = np.repeat(self.ends[rows] - (np.cumsum(size) - size), size)
-        return self.flat[np.arange(total) + shift]
+        return self.flat[np.arange(ends[-1]) + np.repeat(self.starts[rows] - (ends - size), size)]

@@ -12,7 +12,7 @@ An empty table gives an empty folder and no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import zlib
-from itertools import accumulate
+from itertools import accumulate, chain
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +26,9 @@ from semloom.llm.token_cache import Ragged, WordTable
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 TAIL = ".,!?;:%$&*#|"
+MARKS = TAIL.encode()
 JOINED = 256  # letter pieces in a call
-HELD = 600_000  # words in a worker's cache before it starts anew
+HELD = 800_000  # words in a worker's cache before it starts anew
 STRIPE = 16 << 20
 ROWS = 1000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -37,62 +38,88 @@ class Encoder:
     """Ids of texts by the tokenizers library, each distinct piece encoded once and cached.
 
     The vocabulary's pre-tokeniser never joins what ASCII white space parts, nor letters with marks behind them. A word is
-    letters and the marks in TAIL behind it where it has that form, else one piece. New letter pieces are encoded many
-    to a call, and told apart by the library's word numbers.
+    letters and the marks in TAIL behind it where it has that form, else one piece. New pieces of letters or TAIL
+    marks are encoded many to a call: each is one pre-token, and its last id is of a word's end.
     """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
+        ends = {i for w, i in self.model.get_vocab(with_added_tokens=False).items() if w.endswith("</w>")}
+        self.is_end = np.zeros(self.model.get_vocab_size() + 1, bool)
+        self.is_end[list(ends)] = True
         self.reset()
 
     def reset(self):
         self.words, self.pieces, self.ids = WordTable(), WordTable(), Ragged()
         self.parts, self.n = np.full((1 << 14, 2), -1, np.int32), 0  # a word's pieces
 
-    def encode_pieces(self, fresh: list[str]) -> list[list[int]]:
-        out: list = [None] * len(fresh)
-        plain = [i for i, p in enumerate(fresh) if p.isalpha()]
-        for at in range(0, len(plain), JOINED):
-            some = plain[at : at + JOINED]
-            made = self.model.encode(" ".join(fresh[i] for i in some), add_special_tokens=False)
-            number, ids = made.word_ids, np.array(made.ids, np.int32)
-            cut = np.flatnonzero(np.diff(number)) + 1
-            if len(cut) + 1 == len(some):
-                for i, x in zip(some, np.split(ids, cut)):
-                    out[i] = x
-        rest = [i for i, x in enumerate(out) if x is None]
-        for i, x in zip(rest, self.model.encode_batch([fresh[i] for i in rest], add_special_tokens=False)):
-            out[i] = x.ids
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        words = text.encode("utf-8", "replace").split()
-        if not words:
-            return np.zeros(0, np.int32)
+    def learn_pieces(self, fresh: list[str]) -> None:
+        first = self.ids.grow(len(fresh))
+        plain = np.array([p.isalpha() or not p.strip(TAIL) for p in fresh])
+        odd = np.flatnonzero(~plain)
+        plain = np.flatnonzero(plain)
+        groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+        made = self.model.encode_batch_fast([" ".join([fresh[i] for i in g]) for g in groups], add_special_tokens=False)
+        for g, x in zip(groups, made):
+            ids = np.array(x.ids, np.int32)
+            ends = np.flatnonzero(self.is_end[ids])
+            if len(ends) == len(g) and ends[-1] == len(ids) - 1:
+                self.ids.put(first + g, ids, np.diff(ends, prepend=-1))
+            else:
+                odd = np.concatenate([odd, g])
+        for i, x in zip(odd, self.model.encode_batch_fast([fresh[i] for i in odd], add_special_tokens=False)):
+            self.ids.put(np.array([first + i]), np.array(x.ids, np.int32), np.array([len(x.ids)]))
+
+    def learn_words(self, fresh: list[bytes]) -> None:
+        while self.n + len(fresh) > len(self.parts):
+            self.parts = np.concatenate([self.parts, np.full_like(self.parts, -1)])
+        a, b = [], []
+        for word in fresh:
+            body = word.rstrip(MARKS)
+            letters = body.lower().decode() if body.isalpha() else body.decode("utf-8", "replace")
+            if letters.isalpha():
+                a.append(self.pieces[letters])
+                b.append(self.pieces[word[len(body) :].decode()] if len(body) < len(word) else -1)
+            else:
+                a.append(self.pieces[word.decode("utf-8", "replace")])
+                b.append(-1)
+        self.parts[self.n : self.n + len(fresh), 0] = a
+        self.parts[self.n : self.n + len(fresh), 1] = b
+        self.n += len(fresh)
+
+    def encode(self, raws: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, each closed by end; their sizes)."""
         if self.words.full(HELD):
             self.reset()
-        rows = self.words.rows(words)
-        if fresh := self.words.fresh:
-            while self.n + len(fresh) > len(self.parts):
-                self.parts = np.concatenate([self.parts, np.full_like(self.parts, -1)])
-            for i, raw in enumerate(fresh, self.n):
-                word = raw.decode("utf-8")
-                body = word.rstrip(TAIL)
-                if body and body.isalpha():
-                    self.parts[i, 0] = self.pieces[body.lower() if body.isascii() else body]
-                    if len(body) < len(word):
-                        self.parts[i, 1] = self.pieces[word[len(body) :]]
-                else:
-                    self.parts[i, 0] = self.pieces[word]
-            self.n += len(fresh)
+        words = [r.split() for r in raws]
+        rows = self.words.rows(list(chain.from_iterable(words)))
+        if self.words.fresh:
+            self.learn_words(self.words.fresh)
             self.words.fresh = []
-            if self.pieces.fresh:
-                self.ids.extend(self.encode_pieces(self.pieces.fresh))
-                self.pieces.fresh = []
-        flat = self.parts[rows].ravel()
-        return self.ids.gather(flat[flat >= 0])
+        if self.pieces.fresh:
+            self.learn_pieces(self.pieces.fresh)
+            self.pieces.fresh = []
+        parts = self.parts[rows]
+        size = self.ids.sizes[parts[:, 0]] + np.where(parts[:, 1] >= 0, self.ids.sizes[parts[:, 1]], 0)
+        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(w) for w in words])]
+        flat = parts.ravel()
+        ids = np.insert(self.ids.gather(flat[flat >= 0]), ends, end)
+        return ids, np.diff(ends, prepend=0) + 1
+
+
+def by_bytes(raws: list[bytes], most: int = 1 << 20):
+    """Runs of texts of about `most` bytes, so that a batch of long ones isn't split into words at once."""
+    run, size = [], 0
+    for r in raws:
+        run.append(r)
+        size += len(r)
+        if size >= most:
+            yield run
+            run, size = [], 0
+    if run:
+        yield run
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -107,13 +134,13 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> No
             _ENCODERS[vocabulary] = Encoder(vocabulary)
         encoder, part, start = _ENCODERS[vocabulary], TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids = [np.append(encoder.encode(t), np.int32(end)) for t in batch.column("text").to_pylist()]
-            sizes = np.array([len(x) for x in ids], np.int64)
+            made = [encoder.encode(run, end) for run in by_bytes(batch.column("text").cast(pa.binary()).to_pylist())]
+            sizes = np.concatenate([np.zeros(0, np.int64), *(x for _, x in made)])
             ends = np.concatenate([[0], np.cumsum(sizes)])
-            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *ids]).astype(np.int32))
+            flat = pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in made)]))
             lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), flat)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(np.full(len(ids), part, np.int32)), pa.array(start + ends[:-1]), pa.array(sizes), lists],
+                [batch.column("doc_id"), pa.array(np.full(len(sizes), part, np.int32)), pa.array(start + ends[:-1]), pa.array(sizes), lists],
                 ["doc_id", "part", "local_start", "n_tokens", "ids"],
             )
             start += int(ends[-1])
