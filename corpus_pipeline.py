@@ -2,8 +2,9 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame,
 which is written as Parquet and read again as the next one's docs. All but the last return the
-columns of documents. Null doc_ids are keys like others; rows that share a doc_id go or stay
-together, except that near-dedup leaves one.
+columns of documents. Quality rules, near-dedup and decontamination judge each row by itself under a key of its own
+(a 64-bit hash of all its columns), whatever its doc_id; near-dedup leaves one of rows equal in all columns.
+In mixing, rows that share a doc_id go or stay together; null doc_ids are keys like others.
 """
 
 from __future__ import annotations
@@ -24,21 +25,41 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """docs with column row: a hash of all columns, in which null differs from any value."""
+    return docs.withColumn("row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
+
+
+def _by_row(rows: DataFrame) -> DataFrame:
+    """rows of _keyed with the key in place of doc_id."""
+    return rows.withColumn("doc_id", F.col("row")).drop("row")
+
+
+def _keep_rows(rows: DataFrame, keys: DataFrame) -> DataFrame:
+    """The rows of _keyed whose key is among the doc_ids of keys, without the key."""
+    return rows.join(keys.select(F.col("doc_id").alias("row")), "row", "left_semi").drop("row")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the fertility rules keep."""
-    return _keep(docs, fertility_rules.quality(docs).where("kept"))
+    rows = _keyed(docs)
+    return _keep_rows(rows, fertility_rules.quality(_by_row(rows)).where("kept"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of least doc_id of each group; of rows with that doc_id, one."""
-    groups = simhash_neardup.near_duplicates(docs)
-    return _keep(docs, groups.where(F.col("doc_id").eqNullSafe(F.col("component_id")))).dropDuplicates(["doc_id"])
+    """Of each group the row of least doc_id (null after all others, then by key); of rows equal in all columns, one."""
+    rows = _keyed(docs)
+    groups = simhash_neardup.near_duplicates(_by_row(rows)).select(F.col("doc_id").alias("row"), "component_id").distinct()
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    best = rows.select("row", "doc_id").join(groups, "row").groupBy("component_id").agg(first.alias("first"))
+    return rows.join(best.select("first.row"), "row", "left_semi").dropDuplicates(["row"]).drop("row")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents free of benchmark passages."""
-    found = template_decontam.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _keep(docs, found.where(~F.col("contaminated")))
+    rows = _keyed(docs)
+    found = template_decontam.contamination(_by_row(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _keep_rows(rows, found.where(~F.col("contaminated")))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,8 @@ values in the document, so a question with other numbers and names counts, an ac
 doesn't. A document is contaminated if consistent alignments cover at least SHARE of an item's windows.
 
 Null texts are empty: no windows, not contaminated. Items with fewer than WINDOW words have no
-windows and match nothing. Rows with equal doc_id are judged by their windows together and give one row each. Empty tables: an
+windows and match nothing. Each row is judged by its own text, whatever its doc_id (null or repeated):
+rows are told apart by a 64-bit hash of the text, and equal texts are worked on once. Empty tables: an
 empty benchmark leaves every document clean. Extra columns are ignored.
 """
 
@@ -72,28 +73,30 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: flo
     bench = written(benchmark_windows(items, n), "bench")
     hashes = bench.select("h").distinct()
     few = bench.count() <= BROADCAST_ROWS
-    hits = windows(docs, "doc_id", n).join(F.broadcast(hashes) if few else hashes, "h")
-    hits = written(hits, "hits")
+    rows = docs.select("doc_id", text_of().alias("text")).withColumn("row", F.xxhash64("text"))
+    hits = windows(rows, "row", n).join(F.broadcast(hashes) if few else hashes, "h")
+    hits = written(hits.distinct(), "hits")
     side = bench.select("item_id", "ipos", "h", "n_windows", "slots")
     found = hits.join(F.broadcast(side) if few else side, "h")
     found = found.withColumn("shift", F.col("pos") - F.col("ipos"))
-    # slots of the documents that have hits, at the hits
-    ids = written(hits.select("doc_id").distinct(), "hitdocs")
+    # slots of the texts that have hits, at the hits
+    ids = written(hits.select("row").distinct(), "hitdocs")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids  # so that only their texts move, not all
-    texts = docs.join(ids, "doc_id", "left_semi").select("doc_id", valued(text_of()).alias("words"))
+    texts = rows.join(ids, "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
+    texts = texts.select("row", valued(F.col("text")).alias("words"))
     paired = found.where(F.exists("slots", lambda w: w.rlike(f"^{SLOT}")))
-    paired = paired.join(texts, "doc_id").withColumn("own", F.slice("words", F.col("pos") + 1, F.lit(n)))
-    slot = paired.select("doc_id", "item_id", "shift", F.explode(F.arrays_zip("slots", "own")).alias("z"))
+    paired = paired.join(texts, "row").withColumn("own", F.slice("words", F.col("pos") + 1, F.lit(n)))
+    slot = paired.select("row", "item_id", "shift", F.explode(F.arrays_zip("slots", "own")).alias("z"))
     slot = slot.where(F.col("z.slots").rlike(f"^{SLOT}") & F.col("z.own").isNotNull())
-    split = slot.groupBy("doc_id", "item_id", "shift", "z.slots").agg((F.min("z.own") != F.max("z.own")).alias("torn"))
-    torn = split.where("torn").select("doc_id", "item_id", "shift").distinct()
-    sound = found.join(torn, ["doc_id", "item_id", "shift"], "left_anti")
-    cover = sound.groupBy("doc_id", "item_id").agg((F.countDistinct("ipos") / F.first("n_windows")).alias("coverage"))
-    by_doc = cover.groupBy("doc_id").agg(
+    split = slot.groupBy("row", "item_id", "shift", "z.slots").agg((F.min("z.own") != F.max("z.own")).alias("torn"))
+    torn = split.where("torn").select("row", "item_id", "shift").distinct()
+    sound = found.join(torn, ["row", "item_id", "shift"], "left_anti")
+    cover = sound.groupBy("row", "item_id").agg((F.countDistinct("ipos") / F.first("n_windows")).alias("coverage"))
+    by_text = cover.groupBy("row").agg(
         F.max("coverage").alias("coverage"),
         F.array_sort(F.array_compact(F.collect_list(F.when(F.col("coverage") >= share, F.col("item_id"))))).alias("items"),
     )
-    out = docs.select("doc_id").join(by_doc, "doc_id", "left")
+    out = rows.select("doc_id", "row").join(by_text, "row", "left")
     items_of = F.coalesce("items", F.array().cast("array<long>"))
     return out.select(
         "doc_id", (F.size(items_of) > 0).alias("contaminated"), F.size(items_of).cast("long").alias("n_items"),

@@ -225,6 +225,13 @@ def test_decontamination(spark):
     assert template_decontam.contamination(empty(spark), items).count() == 0
 
 
+def test_decontamination_of_null_and_repeated_ids(spark):
+    rows = [(None, prose(1)), (None, f"{prose(2)} {ITEM}"), (None, None), (7, prose(3)), (7, ITEM), (7, ITEM)]
+    items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    got = template_decontam.contamination(spark.createDataFrame(rows, "doc_id long, text string"), items).collect()
+    assert sorted((r.doc_id or 0, r.contaminated) for r in got) == [(0, False), (0, False), (0, True), (7, False), (7, True), (7, True)]
+
+
 def test_line_dedup_matches_brute_force(spark):
     r = np.random.default_rng(3)
     base = [prose(i, 60) for i in range(10)]
