@@ -4,18 +4,22 @@ Numbers, names (capitalised words inside a sentence) and units after numbers bec
 placeholders; windows of WINDOW template words of every document meet those of the benchmark items in a
 hash join. Windows with fewer than LITERALS plain words don't count. Then slots are held side by side: in
 one alignment of a document with an item, equal slot values of the item must stand for equal
-values in the document, so a question with other numbers and names counts, an accidental template
-doesn't. A document is contaminated if consistent alignments cover at least SHARE of an item's windows.
+values in the document, else the windows that hold such a torn slot don't count; so a question with other numbers and
+names counts, an accidental template doesn't. Items stand as written and in lower case. An item is found if its windows are
+covered to SHARE, if RUN of its words follow each other word by word, or if an alignment without torn
+slots holds NEAR of its template words.
 
-Null texts are empty: no windows, not contaminated. Items with fewer than WINDOW words have no
-windows and match nothing. Each row is judged by its own text, whatever its doc_id (null or repeated):
+Null texts are empty: no windows, not contaminated. An item with fewer than WINDOW words is one window; with fewer than LITERALS
+plain words it matches nothing. Each row is judged by its own text, whatever its doc_id (null or repeated):
 rows are told apart by a 64-bit hash of the text, and equal texts are worked on once. Empty tables: an
 empty benchmark leaves every document clean. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.llm.common import text_of, written
@@ -23,6 +27,10 @@ from semloom.llm.common import text_of, written
 WINDOW = 8
 LITERALS = 4
 SHARE = 0.5
+RUN = 15
+NEAR = 0.8
+#: What names an alignment of a text with a form of an item.
+AT = ["row", "item_id", "form", "shift"]
 #: Benchmark windows, and ids of documents with hits, up to which they are broadcast (about 40 bytes each); beyond, Spark shuffles.
 BROADCAST_ROWS = 500_000
 #: Units that may follow a number.
@@ -54,47 +62,81 @@ def windows(docs: DataFrame, key: str, n: int = WINDOW) -> DataFrame:
     return coded.select(key, F.posexplode(hashes).alias("pos", "h"))
 
 
-def benchmark_windows(items: DataFrame, n: int = WINDOW, literals: int = LITERALS) -> DataFrame:
-    """(item_id, ipos, h, slots, n_windows) of the items' usable windows."""
-    words = items.select("item_id", valued(text_of()).alias("words")).where(F.size("words") >= n)
+def benchmark_words(items: DataFrame) -> DataFrame:
+    """(item_id, form, words) of the items as written (form 0) and, where it differs, in lower case (form 1)."""
+    texts = items.select("item_id", text_of().alias("text"))
+    forms = F.filter(F.array(F.col("text"), F.lower("text")), lambda t, i: (i == 0) | (t != F.col("text")))
+    return texts.select("item_id", F.posexplode(forms).alias("form", "text")).select("item_id", "form", valued(F.col("text")).alias("words"))
+
+
+def benchmark_windows(words: DataFrame, n: int = WINDOW, literals: int = LITERALS) -> DataFrame:
+    """(item_id, form, ipos, h, slots, n_windows) of the usable windows of benchmark_words; an item of fewer than n words is one window."""
+    words = words.where(F.size("words") > 0).withColumn("m", F.least(F.size("words"), F.lit(n)))
     coded = words.withColumn("codes", F.transform(template(F.col("words")), lambda w: F.xxhash64(w)))
-    at = coded.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.size("codes") - n)))
-    at = at.withColumn("slots", F.slice("words", F.col("ipos") + 1, F.lit(n)))
+    at = coded.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.size("codes") - F.col("m"))))
+    at = at.withColumn("slots", F.slice("words", F.col("ipos") + 1, F.col("m")))
     plain = F.size(F.filter("slots", lambda w: ~w.rlike(f"^{SLOT}")))
     at = at.where(plain >= literals).select(
-        "item_id", "ipos", F.xxhash64(F.slice("codes", F.col("ipos") + 1, F.lit(n))).alias("h"), "slots"
+        "item_id", "form", "ipos", F.xxhash64(F.slice("codes", F.col("ipos") + 1, F.col("m"))).alias("h"), "slots"
     )
-    count = at.groupBy("item_id").agg(F.countDistinct("ipos").alias("n_windows"))
-    return at.join(count, "item_id")
+    count = at.groupBy("item_id", "form").agg(F.countDistinct("ipos").alias("n_windows"))
+    return at.join(count, ["item_id", "form"])
+
+
+def literal_runs(marked: DataFrame, n: int) -> DataFrame:
+    """(AT, run): words of an alignment's longest passage of windows equal word by word; windows at most n apart meet or overlap."""
+    place = Window.partitionBy(*AT).orderBy("ipos")
+    at = marked.where("literal").select(*AT, "ipos", F.size("slots").alias("m"))
+    apart = F.coalesce(F.col("ipos") - F.lag("ipos").over(place) > n, F.lit(True)).cast("int")
+    at = at.withColumn("apart", apart).withColumn("part", F.sum("apart").over(place))
+    return at.groupBy(*AT, "part").agg((F.max(F.col("ipos") + F.col("m")) - F.min("ipos")).alias("run"))
+
+
+def near_copies(aligned: DataFrame, words: DataFrame, texts: DataFrame) -> DataFrame:
+    """(AT, near): the share of the item's template words that the text holds at their place or one beside it."""
+    both = aligned.join(words.withColumnRenamed("words", "item"), ["item_id", "form"]).join(texts, "row")
+    base = F.greatest(F.col("shift") - 1, F.lit(0))
+    both = both.withColumn("own", template(F.slice("words", base + 1, F.size("item") + 3))).withColumn("item", template(F.col("item")))
+    here = lambda i, d: F.get("own", F.col("shift") + i + F.lit(d) - base) == F.get("item", i)
+    held = F.filter(F.sequence(F.lit(0), F.size("item") - 1), lambda i: here(i, 0) | here(i, -1) | here(i, 1))
+    return both.select(*AT, (F.size(held) / F.size("item")).alias("near"))
 
 
 def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, contaminated, n_items, items, coverage) for every row of docs."""
-    bench = written(benchmark_windows(items, n), "bench")
+    words = written(benchmark_words(items), "items")
+    bench = written(benchmark_windows(words, n), "bench")
     hashes = bench.select("h").distinct()
     few = bench.count() <= BROADCAST_ROWS
     rows = docs.select("doc_id", text_of().alias("text")).withColumn("row", F.xxhash64("text"))
-    hits = windows(rows, "row", n).join(F.broadcast(hashes) if few else hashes, "h")
+    lengths = sorted(r[0] for r in bench.select(F.size("slots")).distinct().collect()) or [n]  # n, and those of shorter items
+    hits = reduce(DataFrame.union, [windows(rows, "row", m) for m in lengths]).join(F.broadcast(hashes) if few else hashes, "h")
     hits = written(hits.distinct(), "hits")
-    side = bench.select("item_id", "ipos", "h", "n_windows", "slots")
-    found = hits.join(F.broadcast(side) if few else side, "h")
-    found = found.withColumn("shift", F.col("pos") - F.col("ipos"))
+    found = hits.join(F.broadcast(bench) if few else bench, "h").withColumn("shift", F.col("pos") - F.col("ipos"))
     # slots of the texts that have hits, at the hits
     ids = written(hits.select("row").distinct(), "hitdocs")
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids  # so that only their texts move, not all
     texts = rows.join(ids, "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
-    texts = texts.select("row", valued(F.col("text")).alias("words"))
-    paired = found.where(F.exists("slots", lambda w: w.rlike(f"^{SLOT}")))
-    paired = paired.join(texts, "row").withColumn("own", F.slice("words", F.col("pos") + 1, F.lit(n)))
-    slot = paired.select("row", "item_id", "shift", F.explode(F.arrays_zip("slots", "own")).alias("z"))
+    texts = written(texts.select("row", valued(F.col("text")).alias("words")), "hitwords")
+    slotted = F.exists("slots", lambda w: w.rlike(f"^{SLOT}"))
+    paired = found.where(slotted).join(texts, "row").withColumn("own", F.slice("words", F.col("pos") + 1, F.size("slots"))).drop("words")
+    plain = found.where(~slotted).withColumn("own", F.col("slots"))
+    marked = plain.unionByName(paired).withColumn("literal", F.col("own") == F.col("slots"))
+    marked = written(marked.select(*AT, "ipos", "n_windows", "slots", "own", "literal"), "marked")
+    slot = marked.select(*AT, F.explode(F.arrays_zip("slots", "own")).alias("z"))
     slot = slot.where(F.col("z.slots").rlike(f"^{SLOT}") & F.col("z.own").isNotNull())
-    split = slot.groupBy("row", "item_id", "shift", "z.slots").agg((F.min("z.own") != F.max("z.own")).alias("torn"))
-    torn = split.where("torn").select("row", "item_id", "shift").distinct()
-    sound = found.join(torn, ["row", "item_id", "shift"], "left_anti")
-    cover = sound.groupBy("row", "item_id").agg((F.countDistinct("ipos") / F.first("n_windows")).alias("coverage"))
-    by_text = cover.groupBy("row").agg(
-        F.max("coverage").alias("coverage"),
-        F.array_sort(F.array_compact(F.collect_list(F.when(F.col("coverage") >= share, F.col("item_id"))))).alias("items"),
+    split = slot.groupBy(*AT, "z.slots").agg((F.min("z.own") != F.max("z.own")).alias("torn"))
+    torn = written(split.where("torn").groupBy(*AT).agg(F.collect_set("slots").alias("torn")), "torn")
+    sound = marked.join(torn, AT, "left").where(F.col("torn").isNull() | ~F.arrays_overlap("slots", "torn"))
+    of = ["row", "item_id", "form"]
+    cover = sound.groupBy(*of).agg((F.countDistinct("ipos") / F.first("n_windows")).alias("coverage"))
+    aligned = marked.select(*AT).distinct().join(torn, AT, "left_anti")
+    runs = literal_runs(marked, n).groupBy(*of).agg(F.max("run").alias("run"))
+    near = near_copies(aligned, words, texts).groupBy(*of).agg(F.max("near").alias("near"))
+    judged = cover.join(runs, of, "full").join(near, of, "full")
+    counts = (F.col("coverage") >= share) | (F.col("run") >= RUN) | (F.col("near") >= NEAR)
+    by_text = judged.groupBy("row").agg(
+        F.max("coverage").alias("coverage"), F.array_sort(F.collect_set(F.when(counts, F.col("item_id")))).alias("items")
     )
     out = rows.select("doc_id", "row").join(by_text, "row", "left")
     items_of = F.coalesce("items", F.array().cast("array<long>"))

@@ -225,6 +225,27 @@ def test_decontamination(spark):
     assert template_decontam.contamination(empty(spark), items).count() == 0
 
 
+def test_decontamination_of_excerpts_near_copies_lower_case_and_short_items(spark):
+    long = "a merchant of the northern town sells cloth and salt to sailors who wait for the spring wind while " + " ".join(f"{a}{b}" for a in ("red", "blue", "green", "grey") for b in ("stone", "water", "field", "cloud", "lamp"))
+    short = "every window of the tall house faces a garden where old pears and plums grow in rows"
+    named = "The judge asks Maria Keller and then Peter Vogel whether Anna Lind or Otto Brandt saw the boat"
+    few = "seven sisters cross the bridge"
+    items = spark.createDataFrame([(1, long), (2, short), (3, named), (4, few)], "item_id long, text string")
+    w = long.split()
+    texts = [
+        f"{prose(1)} {' '.join(w[:19])} {prose(2)}",
+        f"{prose(3)} {short.replace('faces', 'meets')} {prose(4)}",
+        f"{prose(5)} {short.replace('faces a', 'faces a fine')} {prose(6)}",
+        f"{prose(7)} {named.lower()} {prose(8)}",
+        f"{prose(9)} {few} {prose(10)}",
+        f"{prose(11)} {' '.join(w[:10])} {prose(12)}",
+        f"{prose(13)} seven sisters cross a bridge",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: list(r["items"]) for r in template_decontam.contamination(docs, items).collect()}
+    assert [got[i] for i in range(7)] == [[1], [2], [2], [3], [4], [], []]
+
+
 def test_decontamination_of_null_and_repeated_ids(spark):
     rows = [(None, prose(1)), (None, f"{prose(2)} {ITEM}"), (None, None), (7, prose(3)), (7, ITEM), (7, ITEM)]
     items = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
