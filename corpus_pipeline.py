@@ -63,8 +63,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by their rate, at most once each, so that the domains' token shares come to the targets."""
-    mixed = soft_mixing.mix(docs, domains(labels(spark, sf_dir)), TARGETS, most=1.0)
+    """Clean documents, and the others drawn by their rate, at most once each, so that their token shares beside the clean ones come to the targets."""
+    mixed = soft_mixing.mix(docs, domains(labels(spark, sf_dir)), TARGETS, most=1.0, held="clean")
     return _keep(docs, mixed.where("copies > 0"))
 
 

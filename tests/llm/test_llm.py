@@ -196,6 +196,27 @@ def test_rates_reach_the_targets_and_match_projected_gradient(spark):
     assert np.abs(share - [0.6, 0.3, 0.1]).max() < 0.01
 
 
+def test_rates_of_rare_domains_out_of_reach_and_held(spark):
+    schema = "doc_id long, tokens long, p0 double, p1 double, p2 double"
+    rare = [(i, 100, *((0.98, 0.01, 0.01) if i % 250 > 1 else (0.05, 0.9, 0.05) if i % 250 else (0.05, 0.05, 0.9))) for i in range(500)]
+
+    def solved(rows, target, **named):
+        got = soft_mixing.rates(spark.createDataFrame(rows, schema), target, **named).collect()
+        p, t, x = (np.array(v, float) for v in ([r[2:5] for r in got], [r.tokens for r in got], [r.rate for r in got]))
+        return got, x, (p * (t * x)[:, None]).sum(0) / t.sum()
+
+    got, x, share = solved(rare, [0.8, 0.12, 0.08])
+    assert np.abs(share - [0.8, 0.12, 0.08]).max() < 1e-3 and x.max() > 4 and x.min() >= 0
+    assert got[0].residual == pytest.approx(np.abs(share - [0.8, 0.12, 0.08]).max(), abs=1e-9) and got[0].residual < 1e-3
+    got, _, share = solved([(i, 10, 1.0, 0.0, 0.0) for i in range(20)], [0.8, 0.1, 0.1])
+    assert got[0].residual == pytest.approx(0.1, abs=1e-3)
+    many = [(i, 100, *((0.97, 0.02, 0.01) if i % 10 else (0.02, 0.95, 0.03))) for i in range(400)]
+    for rows in (rare, many):
+        got, x, _ = solved(rows, [0.9, 0.06, 0.04], most=1.0, held=0)
+        assert all(a == 1.0 for r, a in zip(got, x) if r.p0 > 0.5) and x.max() <= 1
+    assert max(a for r, a in zip(got, x) if r.p1 > 0.5) < 0.8
+
+
 def test_mixing_of_odd_rows(spark):
     rows = marked(90)
     docs = table(spark, [t for t, _ in rows] + [None, "", "x"])
