@@ -2,9 +2,8 @@
 
 A classifier learnt from a labelled table predicts each document's domain posterior. Document rates
 r >= 0 minimise the squared distance of the expected domain token shares, sum_i r_i t_i p_ik / T, from the
-targets, by accelerated projected gradient in the token-weighted norm (where the gradient of r_i is the
-residual weighted by its posterior, and projecting is clipping at 0; at `most` too where one is given). Each step is one aggregate of K
-sums over all documents; rates stay in the table, never on the driver. Whole copies: floor(rate) and one more with the fraction's
+targets, by Newton steps on the K multipliers of the dual. Each step is one aggregate of K and K x K sums
+over all documents; rates stay in the table, never on the driver. Whole copies: floor(rate) and one more with the fraction's
 probability, by a hash of doc_id.
 
 Null text has no tokens (rate as the posterior of an empty text says; it adds nothing). Domains without labels get posterior 0. Without any labels
@@ -21,11 +20,10 @@ from pyspark.sql import functions as F
 from semloom.llm.common import small_batches, text_of, written
 from semloom.llm.ngram_svm import SAMPLE, Model, sample_indicators, words_of
 
-#: Steps at most; residual at which they end; steps without progress after which targets count as out of reach.
-STEPS = 600
+#: Steps at most; residual at which they end; weight of the squared distance from rate 1, which keeps the multipliers finite where targets are out of reach.
+STEPS = 100
 TOLERANCE = 1e-4
-PATIENCE = 32
-WRITE_EVERY = 8
+RIDGE = 1e-6
 MOST = float("inf")
 
 
@@ -55,10 +53,9 @@ def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: i
 def rates(members: DataFrame, targets: list[float], steps: int = STEPS, most: float = MOST, held: int | None = None) -> DataFrame:
     """members (doc_id, tokens, p0 ..) with columns rate in [0, most] and residual, the largest error of a domain's share.
 
-    Steps go on until the residual is below TOLERANCE, at most `steps`; they end early where the targets can't be reached, when PATIENCE
-    steps no longer lower the residual by a hundredth. held: the domain whose documents (those where its posterior is greatest) keep rate 1; the
+    The rates nearest to 1 that meet the targets are 1 less a sum of posteriors weighted by K multipliers, clipped. Newton steps on the
+    multipliers, the best of six lengths each, go on until the residual is below TOLERANCE or no step helps, at most `steps`. held: the domain whose documents (those where its posterior is greatest) keep rate 1; the
     targets then are its mass and the others' in proportion to it, at most what there is of them.
-    The step size is one over the largest eigenvalue of the posteriors' second moment, a K x K aggregate.
     """
     k = len(targets)
     names = [f"p{i}" for i in range(k)]
@@ -66,7 +63,6 @@ def rates(members: DataFrame, targets: list[float], steps: int = STEPS, most: fl
     total = members.agg(
         F.sum("tokens").alias("t"),
         *[F.sum(F.col("tokens") * F.col(a)).alias(a) for a in names],
-        *[F.sum(F.col("tokens") * F.col(a) * F.col(b)).alias(f"{a}{b}") for a in names for b in names],
     ).first()
     if not total["t"]:
         return members.withColumn("rate", F.lit(1.0)).withColumn("residual", F.lit(0.0))
@@ -75,32 +71,37 @@ def rates(members: DataFrame, targets: list[float], steps: int = STEPS, most: fl
         mass = np.array([total[c] for c in names]) / total["t"]
         target = np.minimum(mass, mass[held] * target / target[held])
         free = F.col(names[held]) < F.greatest(F.lit(0.0), *names)
-    moment = np.array([[total[f"{a}{b}"] for b in names] for a in names]) / total["t"]
-    step = 1.0 / max(float(np.linalg.eigvalsh(moment)[-1]), 1e-9)
-    now = members.withColumn("rate", F.lit(1.0)).withColumn("_last", F.lit(1.0))
-    momentum, before, least, at = 1.0, np.inf, np.inf, 0
-    for i in range(steps + 1):
-        after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
-        lead, momentum = (momentum - 1) / after, after
-        ahead = now.withColumn("_y", F.col("rate") + F.lit(lead) * (F.col("rate") - F.col("_last")))
-        sums = [F.sum(F.col("tokens") * F.col(x) * F.col(c)).alias(c + x) for x in ("_y", "rate") for c in names]
-        got = ahead.agg(*sums).first()
-        rest, error = (np.array([got[c + x] for c in names]) / total["t"] - target for x in ("_y", "rate"))
-        residual = float(np.abs(error).max())
-        if residual < 0.99 * least:
-            least, at = residual, i
-        if residual < TOLERANCE or i - at >= PATIENCE or i == steps:
+    weigh = np.zeros(k)
+
+    def rate(v):
+        slope = sum((F.lit(float(e)) * F.col(c) for e, c in zip(v, names)), F.lit(0.0))
+        return F.when(free, F.greatest(F.lit(0.0), F.least(F.lit(float(most)), 1 - slope))).otherwise(1.0)
+
+    def at(tried):
+        """(gap, curvature, residual) at each of these multipliers, in one aggregate."""
+        sums = []
+        for n, v in enumerate(tried):
+            r, t = rate(v), F.col("tokens")
+            inner = (free & (r > 0) & (r < float(most))).cast("double")
+            sums += [F.sum(t * r * F.col(c)).alias(f"g{n}{c}") for c in names]
+            sums += [F.sum(t * inner * F.col(c) * F.col(d)).alias(f"h{n}{c}{d}") for c in names for d in names]
+        got = members.agg(*sums).first()
+        for n, v in enumerate(tried):
+            error = np.array([got[f"g{n}{c}"] for c in names]) / total["t"] - target
+            yield error - RIDGE * v, np.array([[got[f"h{n}{c}{d}"] for d in names] for c in names]) / total["t"], float(np.abs(error).max())
+
+    gap, curve, residual = next(at([weigh]))
+    for _ in range(steps):
+        if residual < TOLERANCE or np.abs(gap).max() < RIDGE:
+            break
+        move = np.linalg.solve(curve + RIDGE * np.eye(k), gap)
+        tried = [weigh + move * f for f in (1.0, 0.5, 0.2, 0.05, 0.01, 0.001)]
+        found = list(at(tried))
+        best = min(range(len(tried)), key=lambda n: float(found[n][0] @ found[n][0]))
+        if found[best][0] @ found[best][0] >= gap @ gap * (1 - 1e-6):
             break
-        if error @ error > before:  # the momentum overshot
-            momentum = 1.0
-        before = error @ error
-        slope = sum((F.lit(float(e)) * F.col(c) for e, c in zip(rest, names)), F.lit(0.0))
-        new = F.greatest(F.lit(0.0), F.least(F.lit(float(most)), F.col("_y") - F.lit(step) * slope))
-        now = ahead.select("doc_id", "tokens", *names, F.when(free, new).otherwise(1.0).alias("_new"), F.col("rate").alias("_last"))
-        now = now.withColumnRenamed("_new", "rate")
-        if (i + 1) % WRITE_EVERY == 0:
-            now = written(now, "rates")
-    return now.drop("_last").withColumn("residual", F.lit(residual))
+        weigh, (gap, curve, residual) = tried[best], found[best]
+    return members.withColumn("rate", rate(weigh)).withColumn("residual", F.lit(residual))
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rows: int = SAMPLE, steps: int = STEPS, most: float = MOST, held: str | None = None) -> DataFrame:
