@@ -1,17 +1,18 @@
 """Personal data by fixed patterns and a skip-chain conditional random field.
 
-Base spans come from four patterns (email, ip, card, phone). The field labels the tokens of a document as
-none or one of the four kinds: a chain links neighbouring tokens, skip edges link consecutive tokens
-of the same core (letters and digits alone) wherever they stand, and loopy sum-product messages make their labels agree. Tokens
-that the field marks with at least SURE belief, and base spans left out, become further spans; base
-spans stay as they are.
-
-Tokens without a digit or an @ can't start personal data here; their label is fixed to none, so only they split the
-chain, and documents without candidates cost a scan. The field is trained piecewise on the base spans of at
-most SAMPLE documents that have candidates (the first by a hash of doc_id): the token factor by softmax regression, the chain and
-skip factors by label-pair ratios.
-
-Null text counts as empty: no spans. Repeated rows get equal results. Without candidates anywhere the field adds
+Base spans come from four patterns (email, ip, card, phone); each is looked for run by run, in time linear in the text. The field labels
+the tokens of a document as none or one of the four kinds: a chain links neighbouring tokens, skip edges link consecutive tokens
+that repeat or resemble each other (the same letters and digits, the same long beginning of them, the same digits or last digits)
+wherever they stand, and loopy sum-product messages make their labels agree. Tokens under base spans are observed: their
+labels are fixed, and spread along the edges. Other tokens that the field marks with at least SURE belief
+become further spans (a local number after the full one, an address without its end, a card number with a slip); base spans stay as they are.
+
+Tokens are the words with a digit or an @ and the words beside them. Features tell of shape and neighbours, not whether a pattern
+matches. The field is trained piecewise on the base spans of at most SAMPLE documents that have candidates (the
+first by a hash of doc_id): the token factor by softmax regression, where half the tokens under base spans show a masked shape, so that
+neighbours and edges count; the chain and skip factors by label-pair ratios.
+
+Null text counts as empty: no spans. Repeated rows and null doc_ids get results of their own. Without candidates anywhere the field adds
 nothing. Empty tables give no rows. Extra columns are ignored.
 """
 
@@ -30,17 +31,20 @@ from pyspark.sql import functions as F
 from semloom.llm.common import sample_texts, small_batches, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+LOCAL = re.compile(r"[A-Za-z0-9._%+-]+")
+DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+DIGITS = re.compile(r"[0-9]+")
+IP_REST = re.compile(r"(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-CANDIDATE = re.compile(r"[^\x20\x09-\x0D]*[0-9@][^\x20\x09-\x0D]*")
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+MARKED = re.compile(r"[0-9@]")
 CORE = re.compile(r"[\W_]+")
 SAMPLE = 2000
 SURE = 0.97
 SLOTS = 1 << 12
-FEATURES = 12
+FEATURES = 11
 ROUNDS = 12
 
 
@@ -52,14 +56,28 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def runs(text: str, run: re.Pattern, rest: re.Pattern):
+    """Leftmost matches of run and rest behind it, not overlapping. rest can't start inside a run, so each run is tried once."""
+    at = run.search(text)
+    while at:
+        found = rest.match(text, at.end())
+        if found:
+            yield at.start(), found.end()
+        at = run.search(text, found.end() if found else at.end())
+
+
+def in_bounds(ip: str) -> bool:
+    return all(len(p) < 4 and int(p or "0") <= 255 for p in (x.lstrip("0") for x in ip.split(".")))
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of the patterns' matches, by start, then kind as listed."""
     found = []
     if "@" in text:
-        found += [(m.start(), m.end(), 0) for m in EMAIL.finditer(text)]
+        found += [(s, e, 0) for s, e in runs(text, LOCAL, DOMAIN)]
     if DIGIT.search(text):
         if "." in text:
-            found += [(m.start(), m.end(), 1) for m in IP.finditer(text) if all(len(p.lstrip("0")) < 4 and int(p) <= 255 for p in m[0].split("."))]
+            found += [(s, e, 1) for s, e in runs(text, DIGITS, IP_REST) if in_bounds(text[s:e])]
         for m in CARD.finditer(text):
             digits = re.sub("[^0-9]", "", m[0])
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -75,38 +93,48 @@ def joined(spans: list[tuple[int, int, str]]) -> str:
 
 
 def tokens(text: str) -> list[tuple[int, int]]:
-    """Spans of the candidate tokens (those with a digit or an @)."""
-    return [m.span() for m in CANDIDATE.finditer(text)]
+    """Spans of the words with a digit or an @, and of the words beside them."""
+    if not MARKED.search(text):
+        return []
+    words = [m.span() for m in WORD.finditer(text)]
+    held = {j for i, (s, e) in enumerate(words) if MARKED.search(text, s, e) for j in (i - 1, i, i + 1)}
+    return [words[i] for i in sorted(held) if 0 <= i < len(words)]
 
 
-def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
-    """FEATURES slots for each token: its shape, counts, ends, checks, and the neighbours' shapes."""
-    words = [text[s:e] for s, e in spans]
-    shapes = [re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 6)}", w[:64]))[:24] for w in words]
+def features(text: str, spans: list[tuple[int, int]], masked: np.ndarray | None = None) -> np.ndarray:
+    """FEATURES slots for each token: its shape, counts and ends (left out where masked), and the words beside it."""
+    words = [text[s : min(e, s + 64)] for s, e in spans]
+    shapes = [re.sub(r"[^\W\d_]+", "a", re.sub(r"[0-9]+", lambda m: f"9{min(len(m[0]), 6)}", w))[:24] for w in words]
+    plain = [w.strip(".,;:!?\"'()[]#*$%&|").lower()[:16] for w in words]
     out = np.zeros((len(words), FEATURES), np.int64)
     for i, w in enumerate(words):
-        digits = re.sub("[^0-9]", "", w)
-        left = shapes[i - 1] if i and spans[i][0] - spans[i - 1][1] == 1 else "-"
-        right = shapes[i + 1] if i + 1 < len(words) and spans[i + 1][0] - spans[i][1] == 1 else "-"
-        core = w.strip(".,;:!?\"'()[]")
-        told = (
-            shapes[i], f"d{min(len(digits), 20)}", f"@{w.count('@')}", f".{min(w.count('.'), 4)}", f"s{w[0] if not w[0].isalnum() else 'x'}",
-            f"l{left}", f"r{right}", f"e{bool(EMAIL.fullmatch(core))}", f"i{bool(IP.fullmatch(core)) and all(int(p[:9]) <= 255 for p in core.split('.'))}",
-            f"u{14 <= len(digits) <= 19 and luhn(digits)}{bool(re.search('[^0-9 -]', core))}", f"lr{left}/{shapes[i]}/{right}", "one",
-        )
+        left = i and spans[i][0] - spans[i - 1][1] == 1
+        right = i + 1 < len(words) and spans[i + 1][0] - spans[i][1] == 1
+        digits = sum(map(str.isdigit, w))
+        own = (shapes[i], f"d{min(digits, 20)}", f"@{w.count('@')}", f".{min(w.count('.'), 4)}", f"s{w[0] if not w[0].isalnum() else 'x'}", f"m{bool(digits or '@' in w)}")
+        if masked is not None and masked[i]:
+            own = ("masked",) * len(own)
+        told = (*own, f"l{shapes[i - 1] if left else '-'}", f"r{shapes[i + 1] if right else '-'}", f"p{plain[i - 1] if left else '-'}", f"n{plain[i + 1] if right else '-'}", "one")
         out[i] = [(xxhash.xxh32_intdigest(f"{j}{x}") % (SLOTS - 1)) for j, x in enumerate(told)]
     return out
 
 
 def edges(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Chain pairs (one space apart), and skip pairs: consecutive tokens of the same core of three characters or more, or of the same six digits or more."""
+    """Chain pairs (one space apart), and skip pairs: consecutive marked tokens that agree in their core (three characters or more), its first eight characters, six digits or more, or the last seven digits."""
     chain = [(i, i + 1) for i in range(len(spans) - 1) if spans[i + 1][0] - spans[i][1] == 1]
     last: dict[str, int] = {}
     skip = set()
     for i, (s, e) in enumerate(spans):
+        if not MARKED.search(text, s, e):
+            continue
         core = CORE.sub("", text[s:e].lower())
         digits = re.sub("[^0-9]", "", core)
-        for key in {core if len(core) > 2 else "", digits if len(digits) > 5 else ""} - {""}:
+        keys = {core} if len(core) > 2 else set()
+        if len(core) > 8:
+            keys.add("^" + core[:8])
+        if len(digits) > 5:
+            keys |= {"#" + digits, "$" + digits[-7:]}
+        for key in keys:
             if key in last:
                 skip.add((last[key], i))
             last[key] = i
@@ -115,11 +143,17 @@ def edges(text: str, spans: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarr
 
 
 def gold(spans: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> np.ndarray:
-    """Label of each token: 0, or 1 + the kind of the first base span that overlaps it."""
+    """Label of each token: 0, or 1 + the kind of the first base span that overlaps it. Both lists ascend."""
     out = np.zeros(len(spans), np.int64)
+    at = 0
+    longest = max((e - s for s, e, _ in base), default=0)
     for i, (s, e) in enumerate(spans):
-        for a, b, k in base:
-            if a < e and s < b:
+        while at < len(base) and base[at][0] + longest <= s:
+            at += 1
+        for a, b, k in base[at:]:
+            if a >= e:
+                break
+            if b > s:
                 out[i] = 1 + KINDS.index(k)
                 break
     return out
@@ -131,10 +165,14 @@ class Field:
     def __init__(self, weights: np.ndarray, chain: np.ndarray, skip: np.ndarray):
         self.weights, self.chain, self.skip = weights, chain, skip
 
-    def beliefs(self, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """Label beliefs of each token by loopy sum-product in the log domain, damped by half."""
+    def beliefs(self, feats: np.ndarray, chain: np.ndarray, skip: np.ndarray, observed: np.ndarray | None = None) -> np.ndarray:
+        """Label beliefs of each token by loopy sum-product in the log domain, damped by half. observed: labels that are known, 0 where they aren't."""
         unary = self.weights[feats].sum(1)
         unary = unary - np.logaddexp.reduce(unary, 1, keepdims=True)
+        if observed is not None and observed.any():
+            known = np.flatnonzero(observed)
+            unary[known] = -30.0
+            unary[known, observed[known]] = 0.0
         pairs = np.concatenate([chain, skip])
         if not len(pairs):
             return np.exp(unary)
@@ -186,9 +224,9 @@ def train(sample: list[tuple]) -> Field:
         p = counts / counts.sum()
         return np.clip(np.log(p) - np.log(p.sum(1))[:, None] - np.log(p.sum(0))[None, :], -3, 3)
 
-    agree = np.eye(k) * 2  # prior counts of the skip factor: similar tokens agree
+    agree = np.eye(k) * 4  # prior of the skip factor: similar tokens agree
     skip = ratio(3, 1.0)
-    return Field(w, ratio(2, 1.0), np.clip(skip + agree - agree.mean(), -3, 3))
+    return Field(w, ratio(2, 1.0), np.clip(skip + agree - agree.mean(), -4, 4))
 
 
 def added(text: str, base: list[tuple[int, int, str]], field: Field) -> list[tuple[int, int, str]]:
@@ -196,17 +234,26 @@ def added(text: str, base: list[tuple[int, int, str]], field: Field) -> list[tup
     spans = tokens(text)
     if not spans:
         return []
-    belief = field.beliefs(features(text, spans), *edges(text, spans))
+    observed = gold(spans, base)
+    belief = field.beliefs(features(text, spans), *edges(text, spans), observed)
     out = []
-    for (s, e), b in zip(spans, belief):
+    for (s, e), b, known in zip(spans, belief, observed):
         best = int(b.argmax())
-        if best and b[best] >= SURE and not any(a < e and s < z for a, z, _ in base):
-            core = text[s:e].strip(".,;:!?\"'[]")
-            at = s + text[s:e].index(core)
-            out.append((at, at + len(core), KINDS[best - 1]))
+        if best and b[best] >= SURE and not known and MARKED.search(text, s, e):
+            core = text[s:e].strip(".,;:!?\"'[]#*$%&|")
+            if core:
+                at = s + text[s:e].index(core)
+                if out and out[-1][2] == KINDS[best - 1] and at - out[-1][1] == 1:  # the next word of the same span
+                    at = out.pop()[0]
+                out.append((at, s + text[s:e].index(core) + len(core), KINDS[best - 1]))
     return out
 
 
+def masks(text: str, spans: list[tuple[int, int]], labels: np.ndarray) -> np.ndarray:
+    """Which labelled tokens of a training text show no shape: half of them, by a hash of the token."""
+    return np.array([bool(y) and xxhash.xxh32_intdigest(text[s:e].encode("utf-8", "surrogatepass")) % 2 == 0 for (s, e), y in zip(spans, labels)], bool)
+
+
 def fit(docs: DataFrame, rows: int = SAMPLE) -> Field | None:
     small_batches(docs.sparkSession)
     some = docs.where(F.col("text").rlike("[0-9@]"))
@@ -217,7 +264,8 @@ def fit(docs: DataFrame, rows: int = SAMPLE) -> Field | None:
             out = []
             for t in pdf["text"]:
                 spans = tokens(t)
-                out.append(pickle.dumps((features(t, spans).astype(np.int16), gold(spans, base_spans(t)), *edges(t, spans))))
+                labels = gold(spans, base_spans(t))
+                out.append(pickle.dumps((features(t, spans, masks(t, spans, labels)).astype(np.int16), labels, *edges(t, spans))))
             yield pd.DataFrame({"made": out})
 
     got = sorted(bytes(r["made"]) for r in some.mapInPandas(work, "made binary").collect())
