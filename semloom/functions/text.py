@@ -30,14 +30,14 @@ def collapse_marks(c) -> Column:
 
 def collapse_repeats(words) -> Column:
     """At most two of the same word in a row (marks and case aside); words of marks alone reset the count and stay."""
-    start = F.struct(F.lit("").alias("last"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    keys = F.transform(words, lambda w: F.lower(F.regexp_replace(w, r"\W+", "")))
 
-    def step(s, w):
-        key = F.lower(F.regexp_replace(w, r"\W+", ""))
-        n = F.when((key != "") & (key == s["last"]), s["n"] + 1).otherwise(F.when(key != "", 1).otherwise(0))
-        return F.struct(key.alias("last"), n.alias("n"), F.when(n > 2, s["out"]).otherwise(F.array_append(s["out"], w)).alias("out"))
+    def kept(z):
+        key = lambda i: F.get(z["keys"], i)
+        third = lambda i: (key(i) != "") & (key(i) == key(i - 1)) & (key(i) == key(i - 2))
+        return F.filter(z["words"], lambda w, i: ~F.coalesce(third(i), F.lit(False)))
 
-    return F.aggregate(words, start, step, lambda s: s["out"])
+    return F.transform(F.array(F.struct(words.alias("words"), keys.alias("keys"))), kept)[0]  # so that each array is made once
 
 
 def redact(c, values) -> Column:

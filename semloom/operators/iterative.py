@@ -1,7 +1,9 @@
-"""Clustering, projection and graph communities that iterate: Spark ML where it has them, grouped kernels for small groups."""
+"""Clustering, projection and graph communities that iterate: Spark ML where it has them, else rounds of aggregates."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.clustering import KMeans
@@ -12,9 +14,10 @@ from pyspark.sql import functions as F
 
 from semloom.functions.vectors import doubles
 from semloom.operators.clusters import allocate_children, remap_by_size
+from semloom.operators.staging import few, kept
 
-#: Members of one parent that a grouped kernel takes; larger parents are clustered by Spark ML over the cluster.
-GROUP_ROWS = 20_000
+#: Numbers in the centers that are broadcast at once.
+CENTERS = 4_000_000
 
 
 def default_k(n: int) -> int:
@@ -28,62 +31,115 @@ def kmeans(vectors: DataFrame, k: int | None = None, seeds: int = 3, seed: int =
     if n <= 1:
         return vectors.select("id", F.lit(0).cast("long").alias("cluster"))
     rows = vectors.select("id", array_to_vector(doubles("embedding")).alias("raw"))
-    rows = Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(rows).select("id", "features").persist()
+    rows = Normalizer(inputCol="raw", outputCol="features", p=2.0).transform(rows).select("id", "features").persist()  # Spark ML reads it in every step
     models = [KMeans(k=min(k or default_k(n), n), seed=seed + i, maxIter=50).fit(rows) for i in range(seeds)]
     best = min(models, key=lambda m: m.summary.trainingCost)
     found = best.transform(rows).select("id", F.col("prediction").alias("cluster"))
     new = remap_by_size(found).select("cluster", "new_id")
-    return found.join(F.broadcast(new), "cluster").select("id", F.col("new_id").alias("cluster"))  # a row per cluster
-
-
-def _lloyd(x: np.ndarray, k: int, seed: int, rounds: int = 40) -> np.ndarray:
-    """Labels of k-means with k-means++ starts; every cluster keeps a member."""
-    rng = np.random.default_rng(seed)
-    centers = [x[rng.integers(len(x))]]
-    while len(centers) < k:
-        d = np.min([((x - c) ** 2).sum(1) for c in centers], axis=0)
-        centers.append(x[rng.choice(len(x), p=d / d.sum())] if d.sum() > 0 else x[len(centers) % len(x)])
-    c = np.array(centers)
-    label = np.full(len(x), -1)
-    for _ in range(rounds):
-        d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
-        new = d.argmin(1)
-        for j in set(range(k)) - set(new.tolist()):  # the farthest row founds an empty cluster anew
-            counts = np.bincount(new, minlength=k)
-            far = np.where(counts[new] > 1, d[np.arange(len(x)), new], -np.inf).argmax()
-            new[far] = j
-        if (new == label).all():
-            break
-        label = new
-        c = np.array([x[label == j].mean(0) for j in range(k)])
-    return label
-
-
-def children(vectors: DataFrame, parents: DataFrame, total: int, seed: int = 42) -> DataFrame:
+    out = kept(found.join(few(new), "cluster").select("id", F.col("new_id").alias("cluster")))
+    rows.unpersist()
+    return out
+
+
+def _unit(rows) -> np.ndarray:
+    x = np.array(list(rows), np.float64)
+    length = np.linalg.norm(x, axis=1, keepdims=True)
+    return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
+
+
+def _nearest_center(x: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place and squared distance of each row's nearest center, ties to the first."""
+    d = (x**2).sum(1)[:, None] - 2 * x @ c.T + (c**2).sum(1)
+    at = d.argmin(1)
+    return at, d[np.arange(len(x)), at]
+
+
+def _by_parent(batches, centers: dict[int, np.ndarray]):
+    for pdf in batches:
+        for parent, part in pdf.groupby("parent"):
+            x = _unit(part["embedding"])
+            yield parent, part, x, *_nearest_center(x, centers[parent])
+
+
+def _moved(rows: DataFrame, centers: dict[int, np.ndarray], size: int) -> dict[int, np.ndarray]:
+    """Means of each center's rows: partial sums in every task, added up by Spark. A center without rows moves to a row far from its own center."""
+    sent = rows.sparkSession.sparkContext.broadcast(centers)
+
+    def work(batches):
+        held: dict[tuple[int, int], list] = {}
+        for parent, _, x, at, d in _by_parent(batches, sent.value):
+            for child in np.unique(at):
+                own = at == child
+                far = int(np.flatnonzero(own)[d[own].argmax()])
+                n, s, most, vector = held.get((parent, child), (0, np.zeros(size), -1.0, None))
+                held[parent, child] = (n + int(own.sum()), s + x[own].sum(0), max(most, d[far]), x[far] if d[far] > most else vector)
+        if held:
+            yield pd.DataFrame([(p, c, n, s.tolist(), m, v.tolist()) for (p, c), (n, s, m, v) in held.items()], columns=["parent", "child", "n", "s", "far", "vector"])
+
+    parts = rows.mapInPandas(work, "parent long, child long, n long, s array<double>, far double, vector array<double>")
+    sums = F.array(*[F.sum(F.col("s")[i]) for i in range(size)])
+    got = parts.groupBy("parent", "child").agg(F.sum("n").alias("n"), sums.alias("s"), F.max("far").alias("far"), F.max_by("vector", "far").alias("vector")).collect()  # a row per center
+    new = {p: np.full_like(c, np.nan) for p, c in centers.items()}
+    for r in got:
+        new[r["parent"]][r["child"]] = np.array(r["s"]) / r["n"]
+    far: dict[int, list] = {}
+    for r in sorted(got, key=lambda r: (-r["far"], r["child"])):
+        far.setdefault(r["parent"], []).append(r)
+    for p, c in new.items():
+        for child, r in zip(np.flatnonzero(np.isnan(c[:, 0])), far[p]):
+            c[child] = r["vector"]
+        c[np.isnan(c)] = centers[p][np.isnan(c)]
+    return new
+
+
+def children(vectors: DataFrame, parents: DataFrame, total: int, seed: int = 42, rounds: int = 20) -> DataFrame:
     """(id, parent, child): each parent's members clustered among themselves, `total` children shared out by size.
 
-    Parents are clustered side by side in grouped tasks; one of over GROUP_ROWS members goes to Spark ML on its own.
-    Child ids follow the parents' order, larger children first.
+    k-means for all parents at once, whatever their size: a round is one pass over the rows with the centers of a block of parents
+    (at most CENTERS numbers, or one parent's) broadcast, partial sums in each task and one aggregate. Starts are the rows of least hash.
+    Child ids follow the parents' order, larger children first. A parent with fewer different vectors than children may get fewer.
     """
     sizes = parents.groupBy("cluster").agg(F.count("*").alias("n")).withColumnRenamed("cluster", "parent")
-    quota = allocate_children(sizes, total)
-    rows = vectors.join(parents.withColumnRenamed("cluster", "parent"), "id").join(F.broadcast(quota.join(sizes, "parent")), "parent")
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        x = np.array(pdf["embedding"].tolist(), np.float64)
-        length = np.linalg.norm(x, axis=1, keepdims=True)
-        label = _lloyd(np.divide(x, length, out=np.zeros_like(x), where=length > 0), int(pdf["children"].iloc[0]), seed)
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "parent": pdf["parent"].to_numpy(), "local": label})
-
-    small = rows.where(F.col("n") <= GROUP_ROWS).groupBy("parent").applyInPandas(work, "id long, parent long, local long")
-    for big in quota.join(sizes.where(F.col("n") > GROUP_ROWS), "parent").collect():  # few: one per GROUP_ROWS rows of a level
-        part = kmeans(rows.where(F.col("parent") == big["parent"]).select("id", "embedding"), big["children"], 1, seed)
-        small = small.unionByName(part.select("id", F.lit(big["parent"]).cast("long").alias("parent"), F.col("cluster").alias("local")))
-    small = small.persist()
-    per = small.groupBy("parent", "local").agg(F.count("*").alias("n"), F.min("id").alias("first"))
-    ids = per.withColumn("child", F.row_number().over(Window.orderBy("parent", F.desc("n"), "first")).cast("long") - 1)  # a row per cluster
-    return small.join(F.broadcast(ids.select("parent", "local", "child")), ["parent", "local"]).select("id", "parent", "child")
+    quota = kept(allocate_children(sizes, total))
+    rows = kept(vectors.join(parents.withColumnRenamed("cluster", "parent"), "id").join(few(quota), "parent").select("id", "embedding", "parent", "children"))
+    first = rows.first()
+    if first is None:
+        return vectors.select("id", F.lit(0).cast("long").alias("parent"), F.lit(0).cast("long").alias("child"))
+    size = len(first["embedding"])
+    order = Window.partitionBy("parent").orderBy(F.xxhash64("id", F.lit(seed)), "id")
+    starts = kept(rows.withColumn("r", F.row_number().over(order)).where("r <= children").select("parent", "embedding", "r"))
+    blocks, room = [[]], CENTERS
+    for q in quota.orderBy("parent").toLocalIterator():  # a row per parent
+        if q["children"] * size > room and blocks[-1]:
+            blocks.append([])
+            room = CENTERS
+        blocks[-1].append(q["parent"])
+        room -= q["children"] * size
+    parts = []
+    for block in blocks:
+        lo, hi = block[0], block[-1]
+        mine = rows.where(F.col("parent").between(lo, hi))
+        centers: dict[int, list] = {}
+        for r in starts.where(F.col("parent").between(lo, hi)).orderBy("parent", "r").collect():  # a block's centers
+            centers.setdefault(r["parent"], []).append(r["embedding"])
+        now = {p: _unit(c) for p, c in centers.items()}
+        for _ in range(rounds):
+            new = _moved(mine, now, size)
+            still = all(np.abs(new[p] - now[p]).max() < 1e-6 for p in now)
+            now = new
+            if still:
+                break
+        sent = vectors.sparkSession.sparkContext.broadcast(now)
+
+        def work(batches, sent=sent):
+            for parent, part, _, at, _ in _by_parent(batches, sent.value):
+                yield pd.DataFrame({"id": part["id"].to_numpy(), "parent": parent, "local": at})
+
+        parts.append(mine.mapInPandas(work, "id long, parent long, local long"))
+    found = kept(reduce(DataFrame.union, parts))
+    per = found.groupBy("parent", "local").agg(F.count("*").alias("n"), F.min("id").alias("first"))
+    ids = per.withColumn("child", F.row_number().over(Window.orderBy("parent", F.desc("n"), "first")).cast("long") - 1)  # a row per cluster, of which `total` exist
+    return found.join(few(ids.select("parent", "local", "child")), ["parent", "local"]).select("id", "parent", "child")
 
 
 def hierarchy(vectors: DataFrame, macro: int, neighborhood: int, micro: int) -> DataFrame:
@@ -94,30 +150,6 @@ def hierarchy(vectors: DataFrame, macro: int, neighborhood: int, micro: int) ->
     return top.withColumnRenamed("cluster", "macro").join(mid.select("id", F.col("child").alias("neighborhood")), "id").join(low.select("id", F.col("child").alias("micro")), "id")
 
 
-def agglomerative(vectors: DataFrame, group: str, k: int) -> DataFrame:
-    """(id, group, cluster): average linkage on cosine distance inside each group (at most GROUP_ROWS / 10 rows each: it is quadratic)."""
-
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
-        n = len(pdf)
-        if n > GROUP_ROWS // 10:
-            raise ValueError(f"{n} rows in a group; average linkage takes {GROUP_ROWS // 10}")
-        x = np.array(pdf["embedding"].tolist(), np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        d = 1 - x @ x.T
-        np.fill_diagonal(d, np.inf)
-        size, label = np.ones(n), np.arange(n)
-        for _ in range(max(0, n - k)):
-            i, j = sorted(np.unravel_index(d.argmin(), d.shape))
-            d[i] = d[:, i] = (d[i] * size[i] + d[j] * size[j]) / (size[i] + size[j])
-            d[i, i], d[j], d[:, j] = np.inf, np.inf, np.inf
-            size[i] += size[j]
-            label[label == j] = i
-        return pd.DataFrame({"id": pdf["id"].to_numpy(), "grp": pdf[group].to_numpy(), "cluster": np.unique(label, return_inverse=True)[1]})
-
-    return vectors.groupBy(group).applyInPandas(work, "id long, grp long, cluster long")
-
-
 def pca(vectors: DataFrame) -> DataFrame:
     """(id, x, y): centred projection on the two main axes, each with its largest loading positive. One row or one column give zeros."""
     rows = vectors.select("id", array_to_vector(doubles("embedding")).alias("v")).persist()
@@ -133,24 +165,24 @@ def pca(vectors: DataFrame) -> DataFrame:
     return both.select("id", ((F.col("p")[0] - F.col("mx")) * sign[0]).alias("x"), ((F.col("p")[1] - F.col("my")) * sign[1]).alias("y"))
 
 
-def communities(edges: DataFrame, rounds: int = 12) -> DataFrame:
+def communities(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(id, cluster): weighted label propagation on undirected edges (src, dst, weight); ids by size.
 
-    Each node takes the label of most weight among its neighbours and itself, ties to the least label. A round is one join and two
-    aggregates; lineage is cut every third round.
+    Each node takes the label of most weight among its neighbours and itself, ties to the least label; a node's own label weighs
+    more each round, so labels come to rest. A round is one join and two aggregates, written; rounds end when no label changes, and it is an error if `rounds` don't do.
     """
-    spark = edges.sparkSession
-    both = edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")).persist()
-    label = both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id"))
+    both = kept(edges.select("src", "dst", "weight").union(edges.select("dst", "src", "weight")))
+    label = kept(both.select(F.col("src").alias("id")).distinct().withColumn("label", F.col("id")))
     for i in range(rounds):
         votes = both.join(label, both.dst == label.id).groupBy(F.col("src").alias("id"), "label").agg(F.sum("weight").alias("w"))
-        own = label.withColumn("w", F.lit(0.25))
+        own = label.withColumn("w", F.lit(0.25 * (1 + i // 4)))
         new = votes.union(own.select("id", "label", "w")).groupBy("id", "label").agg(F.sum("w").alias("w"))
-        label = new.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label"))
-        if i % 3 == 2:
-            if spark.sparkContext.getCheckpointDir() is None and not spark.conf.get("spark.checkpoint.dir", None):
-                label = label.persist()
-            else:
-                label = label.checkpoint()
+        new = kept(new.groupBy("id").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")))
+        changed = new.join(label.withColumnRenamed("label", "old"), "id").where("label <> old").limit(1).count()
+        label = new
+        if not changed:
+            break
+    else:
+        raise RuntimeError(f"labels still change after {rounds} rounds")
     sizes = remap_by_size(label.withColumnRenamed("label", "cluster")).select("cluster", "new_id")
     return label.join(sizes, label.label == sizes.cluster).select("id", F.col("new_id").alias("cluster"))

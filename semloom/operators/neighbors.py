@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from semloom.operators.staging import kept
+
 BLOCK = 2048
 
 
@@ -24,11 +26,18 @@ def blocks(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
 def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
     """(src, nbr, sim, rank) of the k most similar others of every vector (id, embedding); ties by id.
 
-    Each pair of blocks is one matrix product in a task and yields k rows per vector; a window merges them.
+    Equal vectors fold to one, with their k + 1 least ids. Each unordered pair of blocks is one matrix product in a task, for both
+    sides; it yields k + 1 rows per vector, and windows merge them. The work is quadratic in the different vectors.
     """
-    packed = blocks(vectors, block)
-    pairs = packed.withColumnRenamed("rows", "q").drop("block").crossJoin(packed.select(F.col("rows").alias("b")))
-    tasks = max(1, min(int(packed.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, 10_000))
+    rows = vectors.where("embedding is not null").select("id", "embedding")
+    own = rows.groupBy("embedding").agg(F.min("id").alias("grp"))
+    of = kept(rows.join(own, "embedding").select("id", "grp"))
+    place = F.row_number().over(Window.partitionBy("grp").orderBy("id"))
+    least = kept(of.withColumn("r", place).where(F.col("r") <= k + 1).select("grp", "id"))
+    packed = kept(blocks(own.select(F.col("grp").alias("id"), "embedding"), block))
+    i, j = packed.select(F.col("block").alias("i")), packed.select(F.col("block").alias("j"))
+    pairs = i.join(j, F.col("i") <= F.col("j"))  # numbers of blocks, not their rows
+    pairs = pairs.join(packed.select(F.col("block").alias("i"), F.col("rows").alias("q")), "i").join(packed.select(F.col("block").alias("j"), F.col("rows").alias("b")), "j")
 
     def work(batches):
         def matrix(rows):
@@ -36,20 +45,33 @@ def nearest(vectors: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
             length = np.linalg.norm(m, axis=1, keepdims=True)
             return np.array([r["id"] for r in rows], np.int64), np.divide(m, length, out=np.zeros_like(m), where=length > 0)
 
+        def best(qi, bi, sim):
+            """The k + 1 best of each row, ties by id."""
+            keep = min(k + 1, sim.shape[1])
+            edge = -np.partition(-sim, keep - 1, axis=1)[:, keep - 1]
+            i, j = np.nonzero(sim >= edge[:, None])
+            order = np.lexsort((bi[j], -sim[i, j], i))
+            i, j = i[order], j[order]
+            first = np.searchsorted(i, np.arange(len(qi)))
+            top = np.arange(len(i)) - first[i] < keep
+            return pd.DataFrame({"src": qi[i[top]], "nbr": bi[j[top]], "sim": sim[i[top], j[top]]})
+
         for pdf in batches:
-            for q, b in zip(pdf["q"], pdf["b"]):
+            for one, two, q, b in zip(pdf["i"], pdf["j"], pdf["q"], pdf["b"]):
                 (qi, qm), (bi, bm) = matrix(q), matrix(b)
                 for at in range(0, len(qi), 256):
-                    sim = qm[at : at + 256] @ bm.T
-                    sim[qi[at : at + 256, None] == bi[None, :]] = -np.inf
-                    keep = min(k, sim.shape[1])
-                    edge = -np.partition(-sim, keep - 1, axis=1)[:, keep - 1]  # ties at the edge stay for the window
-                    i, j = np.nonzero((sim >= edge[:, None]) & np.isfinite(sim))
-                    yield pd.DataFrame({"src": qi[at + i], "nbr": bi[j], "sim": sim[i, j]})
-
-    rows = pairs.repartition(tasks).mapInPandas(work, "src long, nbr long, sim double")
+                    yield best(qi[at : at + 256], bi, qm[at : at + 256] @ bm.T)
+                for at in range(0, len(bi) if one != two else 0, 256):
+                    yield best(bi[at : at + 256], qi, bm[at : at + 256] @ qm.T)
+
+    found = pairs.mapInPandas(work, "src long, nbr long, sim double")
+    groups = Window.partitionBy("src").orderBy(F.desc("sim"), "nbr")
+    found = found.withColumn("r", F.row_number().over(groups)).where(F.col("r") <= k + 1)
+    ids = found.join(least.withColumnRenamed("grp", "nbr"), "nbr").withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("sim"), "id")))
+    ids = ids.where(F.col("r") <= k + 1).select(F.col("src").alias("grp"), F.col("id").alias("nbr"), "sim")
+    out = of.withColumnRenamed("id", "src").join(ids, "grp").where("src <> nbr")
     order = Window.partitionBy("src").orderBy(F.desc("sim"), "nbr")
-    return rows.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return out.select("src", "nbr", "sim", F.row_number().over(order).alias("rank")).where(F.col("rank") <= k)
 
 
 def same_cluster_rate(neighbors: DataFrame, assigned: DataFrame) -> DataFrame:

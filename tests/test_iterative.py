@@ -7,7 +7,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from semloom.operators import iterative as I
-from semloom.operators import territory as T
 from semloom.sources import export as E
 from semloom.sources import records as R
 from semloom.streaming import incremental as S
@@ -50,48 +49,63 @@ def test_pca_equals_the_centred_projection(spark, blobs):
     assert tuple(I.pca(blobs.where("id = 1")).first())[1:] == (0.0, 0.0)
 
 
-def test_agglomerative_and_communities(spark, blobs):
-    got = {r.id: r.cluster for r in I.agglomerative(blobs.withColumn("g", F.lit(0)), "g", 4).collect()}
+def test_nested_kmeans_in_blocks_of_parents_and_equal_vectors(spark, blobs, monkeypatch):
+    monkeypatch.setattr(I, "CENTERS", 8)
+    parents = blobs.select("id", (F.col("id") % 2).cast("long").alias("cluster"))
+    rows = I.children(blobs, parents, 4).collect()
+    assert len(rows) == 80 and len({r.child for r in rows}) == 4
+    got = {r.id: r.child for r in rows}
     assert all((got[i] == got[j]) == (i % 4 == j % 4) for i in range(40) for j in range(40))
+    same = blobs.where("id < 6").withColumn("embedding", F.array(F.lit(1.0), F.lit(0.0)))
+    assert {r.child for r in I.children(same, parents.where("id < 6"), 4).collect()} <= {0, 1, 2, 3}
+    assert I.children(blobs.where("id < 0"), parents.where("id < 0"), 4).count() == 0
+
+
+def test_neighbours_of_equal_vectors_in_several_blocks(spark):
+    from semloom.operators import neighbors as N
+
+    r = np.random.default_rng(4)
+    rows = [(i, [1.0, 0.0, 0.0] if i < 5000 else [0.0, 0.0, 0.0] if i < 5010 else [float(x) for x in r.normal(size=3)]) for i in range(5100)]
+    got = {}
+    for n in N.nearest(spark.createDataFrame(rows, VEC), 3, block=16).collect():
+        got.setdefault(n.src, {})[n.rank] = n.nbr
+    assert [got[i] for i in (0, 2, 4999)] == [{1: 1, 2: 2, 3: 3}, {1: 0, 2: 1, 3: 3}, {1: 0, 2: 1, 3: 2}]
+    x = np.array([v for _, v in rows])
+    x = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=np.linalg.norm(x, axis=1, keepdims=True) > 0)
+    for i in range(5010, 5100):
+        sim = np.round(x @ x[i], 12)
+        sim[i] = -9
+        assert [got[i][k] for k in (1, 2, 3)] == np.lexsort((np.arange(len(x)), -sim))[:3].tolist()
+    assert len(got) == 5100
+
+
+def test_communities(spark):
     edges = spark.createDataFrame([(a + 10 * g, b + 10 * g, 1.0) for g in range(2) for a in range(4) for b in range(a)] + [(0, 10, 0.1)], "src long, dst long, weight double")
     c = {r.id: r.cluster for r in I.communities(edges).collect()}
     assert len(set(c.values())) == 2 and c[1] == c[2] != c[11]
 
 
-def test_circles_stay_inside_and_cells_fill_the_frame(spark):
-    c = spark.createDataFrame([(0, i, 3 + i, float(i), float(i % 2)) for i in range(5)] + [(1, 9, 4, 0.0, 0.0)], "parent long, cluster long, n long, x double, y double")
-    links = spark.createDataFrame([(0, 0, 1, 1.0)], "parent long, a long, b long, w double")
-    for r in T.circles(c, links).collect():
-        assert np.hypot(r.x, r.y) + r.r <= 1 + 1e-5
-    p = spark.createDataFrame([(0, i, *map(float, np.random.default_rng(i).uniform(-0.9, 0.9, 2))) for i in range(12)], "g long, id long, x double, y double")
-    area = 0.0
-    for r in T.cells(p, "g").collect():
-        q = np.array([(a.x, a.y) for a in r.cell])
-        area += abs(np.dot(q[:, 0], np.roll(q[:, 1], -1)) - np.dot(q[:, 1], np.roll(q[:, 0], -1))) / 2
-    assert area == pytest.approx(4.0, abs=1e-6)
-
-
 def test_normalize_and_enrich(spark, tmp_path):
     detail = {
-        "id": 101, "imdb_id": None, "external_ids": {"imdb_id": "tt1"}, "title": " Moon  Harbor ", "release_date": "2019-03-15", "runtime": 111, "original_language": "en",
+        "id": 501, "imdb_id": None, "external_ids": {"imdb_id": "tt1"}, "title": " Salt  Road ", "release_date": "2011-06-01", "runtime": 97, "original_language": "en",
         "overview": "A town.", "genres": [{"name": "Drama"}, {"name": " "}], "keywords": {"keywords": [{"name": "sea"}]}, "vote_count": 50,
-        "credits": {"cast": [{"name": f"P{i}"} for i in range(12)], "crew": [{"job": "Director", "name": "June"}, {"job": "Writer", "name": "Ann"}]}, "reviews": {"results": [{"content": "x" * 600}]},
+        "credits": {"cast": [{"name": f"P{i}"} for i in range(12)], "crew": [{"job": "Director", "name": "Lena Ort"}, {"job": "Writer", "name": "Ann"}]}, "reviews": {"results": [{"content": "x" * 600}]},
     }
-    (tmp_path / "d.json").write_text(json.dumps({"results": [detail, {"id": 102}]}))
+    (tmp_path / "d.json").write_text(json.dumps({"results": [detail, {"id": 502}]}))
     rows = {r.id: r for r in R.normalize(R.read_details(spark, str(tmp_path / "d.json"))).collect()}
-    a = rows[101]
-    assert (a.imdb_id, a.title, a.year, a.genres, a.directors, len(a.cast), len(a.reviews[0])) == ("tt1", "Moon Harbor", 2019, ["Drama"], ["June"], 10, 500)
-    assert rows[102].genres == [] and rows[102].title == ""
-    assert [r.id for r in R.eligible(R.read_details(spark, str(tmp_path / "d.json")), 2000, "2024-01-01", 40, 10).collect()] == [101]
-    links = spark.createDataFrame([(1, 101), (2, 101), (3, 999)], "movieId int, tmdbId long")
+    a = rows[501]
+    assert (a.imdb_id, a.title, a.year, a.genres, a.directors, len(a.cast), len(a.reviews[0])) == ("tt1", "Salt Road", 2011, ["Drama"], ["Lena Ort"], 10, 500)
+    assert rows[502].genres == [] and rows[502].title == ""
+    assert [r.id for r in R.eligible(R.read_details(spark, str(tmp_path / "d.json")), 2000, "2024-01-01", 40, 10).collect()] == [501]
+    links = spark.createDataFrame([(1, 501), (2, 501), (3, 999)], "movieId int, tmdbId long")
     scores = spark.createDataFrame([(2, 5, 0.9), (2, 6, 0.9), (2, 7, 0.1), (2, 8, 0.5), (1, 5, 0.99)], "movieId int, tagId int, relevance double")
     tags = spark.createDataFrame([(5, "sea"), (6, "town"), (7, "low")], "tagId int, tag string")
     e = R.normalize(R.read_details(spark, str(tmp_path / "d.json")))
     signals = R.tag_signals(e, links, scores, tags)
-    assert [tuple(r) for r in signals.collect()] == [(101, ["town", "sea"])]
+    assert [tuple(r) for r in signals.collect()] == [(501, ["town", "sea"])]
     syn = spark.createDataFrame([(0, "tt1", ["a"], "old"), (1, "tt1", ["b"], "new"), (2, "", ["c"], "no")], "ord int, imdb_id string, plot_tags array<string>, synopsis string")
     out = {r.id: r for r in R.enrich(e, signals, syn).collect()}
-    assert out[101].synopsis == "new" and out[102].tags == [] and out[102].synopsis is None
+    assert out[501].synopsis == "new" and out[502].tags == [] and out[502].synopsis is None
 
 
 def test_export_leaves_private_columns_out(spark, tmp_path):
