@@ -12,6 +12,7 @@ from semloom.operators import assembly as B
 from semloom.operators import clusters as C
 from semloom.operators import neighbors as N
 from semloom.operators import texts as T
+from semloom.plans.text_queries import QUERIES as TEXTS
 from semloom.plans.text_queries import STOP, docs
 from semloom.plans.vector_queries import KNN, V, fix
 from semloom.sources.tables import layers, table, vectors
@@ -130,6 +131,7 @@ def usage_totals(spark, sf):
     return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.coalesce(F.sum(k), F.lit(0)).cast("long").alias("tokens"), fixed(F.coalesce(F.sum(k), F.lit(0)) * 0.15 / 1e6, 9).alias("usd"))
 
 
+CLUSTER_TERMS = TEXTS["cluster_terms"][1]
 PATHS = "n as (select vec_id as id, 'Area ' || (label // 4)::int as macro, 'area-' || (label // 2)::int as neighborhood, 'Spot ' || label as micro from embeddings), r as (select id, lower(macro) = replace(neighborhood, '-', ' ') as repeated from n)"
 FLAGS = PATHS + """, f as (select doc_id as id, 'missing_point' as type, 3 as severity from documents where doc_id not in (select id from n)
  union all select r.id, 'duplicate_path_label', 2 from r join documents on r.id = doc_id where repeated
@@ -166,5 +168,6 @@ QUERIES = {
     "keyword_set": (keyword_set, "select doc_id as id, md5(coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda w: lower(w)), lambda w: w <> '' and w not in ('the', 'und', 'les', 'una')))), ' '), '')) as digest from documents"),
     "halton_offsets": (halton_offsets, f"select a.id as c_custkey, {fix('a.r', 9)} as x, {fix('b.r', 9)} as y from {_halton(2)} a join {_halton(3)} b on a.id = b.id"),
     "usage_totals": (usage_totals, f"select event_type, count(*) as calls, coalesce(sum((props->>'k')::bigint), 0)::bigint as tokens, {fix('coalesce(sum((props->>$$k$$)::bigint), 0) * 0.15::double / 1e6', 9)} as usd from events group by 1"),
-    "evidence_warnings": (evidence_warnings, None),
+    "evidence_warnings": (evidence_warnings, f"""with ct as ({CLUSTER_TERMS}), n as (select lang as cluster, count(*) as size from documents group by 1)
+ select cluster, coalesce(string_agg(term, ',' order by rank) filter (term in ('and', 'der', 'de', 'en')), '') as noisy, any_value(size) < 50 as small from ct join n using (cluster) group by 1"""),
 }

@@ -15,7 +15,7 @@ from semloom.sources.tables import layers, table, vectors
 
 
 def _nodes(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), "source", "lang", F.length("text").alias("score"))
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("title"), "source", "lang", F.length("text").alias("score"))
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("cluster")).join(d, "id")
 
 
@@ -40,8 +40,8 @@ def audit_selection(spark, sf):
 
 
 def neighbor_flags(spark, sf):
-    n = _nodes(spark, sf).select("id", F.array("lang").alias("genres"), X.title_tokens(F.col("title")).alias("tokens"))
-    return A.neighbor_flags(n, N.nearest(vectors(spark, sf).where("id % 7 > 0"), 5))
+    n = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.array("lang").alias("genres"), X.title_tokens(F.col("text")).alias("tokens"))
+    return A.neighbor_flags(n, N.nearest(vectors(spark, sf), 5))
 
 
 def audit_verdicts(spark, sf):
@@ -128,7 +128,7 @@ def sampling_bias(spark, sf):
     return o.select("n", fixed(share("now")).alias("current"), F.array_join(F.array_compact(F.array(F.when(share("now") >= 0.25, "many current"), F.when(F.col("later") > 0, "some future"), F.when(share("series") >= 0.25, "many of a series"))), "; ").alias("warnings"))
 
 
-NODES = "n as (select vec_id as id, label as cluster, text[1:40] as title, source, lang, length(text) as score from embeddings join documents on vec_id = doc_id)"
+NODES = "n as (select vec_id as id, label as cluster, text as title, source, lang, length(text) as score from embeddings join documents on vec_id = doc_id)"
 TOKENS = r"list_distinct(list_filter(regexp_split_to_array(translate(lower(title), '-‑:', '   '), '\s+'), lambda w: length(w) > 3 and w not in ('the', 'a', 'an', 'of', 'and', 'or', 'part', 'chapter', 'movie')))"
 LAYERS = "l as (select vec_id as id, (label // 4)::int as macro, (label // 2)::int as neighborhood, label as micro from embeddings)"
 
@@ -137,7 +137,7 @@ QUERIES = {
     "cluster_members": (cluster_members, f"with {NODES} select cluster, id, row_number() over (partition by cluster order by (id = 42) desc, trim(regexp_replace(lower(title), '[^a-z0-9]+', ' ', 'g')), id) as rank from n qualify rank <= 10"),
     "variant_overlap": (variant_overlap, KNN.format(k=5) + ", q as (select a.id as src, b.id as nbr, list_cosine_similarity(a.e[1:32], b.e[1:32]) as sim from v a join v b on a.id <> b.id), h as (select src, nbr from q qualify row_number() over (partition by src order by sim desc, nbr) <= 5) select knn.src, count(h.nbr) as same from knn left join h on knn.src = h.src and knn.nbr = h.nbr group by 1 having count(h.nbr) < 4"),
     "audit_selection": (audit_selection, f"with {NODES}, k as (select *, md5(id || '-7') as key from n), f as (select *, row_number() over (partition by cluster order by key, id) = 1 as first from k) select id, case when first then 'cluster' else 'score' end as part from f order by first desc, case when first then key end, score desc, key, id limit 60"),
-    "neighbor_flags": (neighbor_flags, "with v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings where vec_id % 7 > 0), p as (select a.id as src, b.id as nbr, list_cosine_similarity(a.e, b.e) as sim from v a join v b on a.id <> b.id), knn as (select src, nbr from p qualify row_number() over (partition by src order by sim desc, nbr) <= 5), " + NODES + f", t as (select id, lang, {TOKENS} as tokens from n),"
+    "neighbor_flags": (neighbor_flags, "with v as (select vec_id as id, list_transform(embedding, lambda x: x::double) as e from embeddings), p as (select a.id as src, b.id as nbr, list_cosine_similarity(a.e, b.e) as sim from v a join v b on a.id <> b.id), knn as (select src, nbr from p qualify row_number() over (partition by src order by sim desc, nbr) <= 5), n as (select doc_id as id, lang, text as title from documents), " + f"t as (select id, lang, {TOKENS} as tokens from n),"
      " g as (select s.id, count(*) filter (o.lang = s.lang) as same, count(*) filter (o.lang <> s.lang and len(list_intersect(s.tokens, o.tokens)) > 0) as confused from t s join knn on s.id = src left join t o on nbr = o.id group by 1)"
      " select id, 'missing_neighbors' as flag, 2 as severity from t where id not in (select src from knn) union all select id, 'possible_title_confusion', 2 from g where confused > 0 union all select id, 'low_neighbor_genre_overlap', 1 from g where same <= 1"),
     "audit_verdicts": (audit_verdicts, "select user_id, case when bad >= 2 or (bad >= 1 and off) then 'fail' when bad >= 1 or off or good = 0 then 'mixed' else 'pass' end as verdict from (select user_id, count(*) filter (value > 90) as bad, count(*) filter (value < 50) as good, max(event_id) % 5 = 0 as off from events group by 1)"),

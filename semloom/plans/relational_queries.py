@@ -92,7 +92,7 @@ def verdict_counts(spark, sf):
 
 
 def duplicate_titles(spark, sf):
-    d = table(spark, sf, "documents").select("doc_id", X.plain_label(F.substring("text", 1, 40)).alias("label"))
+    d = table(spark, sf, "documents").select("doc_id", X.plain_label(F.col("text")).alias("label"))
     g = d.where("label <> ''").groupBy("label").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"))
     return g.where("n > 1")
 
@@ -103,7 +103,7 @@ def _clusters(spark, sf):
 
 def _rules(spark, sf):
     """Rules from the documents: ord doc_id, cluster doc_id mod 10, new label its source."""
-    d = table(spark, sf, "documents").where(F.col("doc_id") % 7 < 3)
+    d = table(spark, sf, "documents")
     return d.select((F.col("doc_id") % 10).cast("int").alias("cluster"), F.col("doc_id").alias("ord"), F.col("source").alias("new_label"))
 
 
@@ -117,14 +117,14 @@ def label_repair_log(spark, sf):
 
 def neighbor_repair(spark, sf):
     v = vectors(spark, sf)
-    rule = v.where("id % 5 = 0").select(F.col("id").alias("src"), F.posexplode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("pos", "nbr"))
+    rule = v.select(F.col("id").alias("src"), F.posexplode(F.array(F.col("id") + 1, F.col("id") + 2)).alias("pos", "nbr"))
     return S.neighbor_repair(N.nearest(v, 10), rule).select("src", "nbr", fixed(F.col("sim")).alias("sim"), "rank")
 
 
 def label_contradictions(spark, sf):
     d = table(spark, sf, "documents")
     low = F.lower("text")
-    label = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "macro").when(F.col("doc_id") % 3 == 1, "neighborhood").otherwise("micro").alias("layer"), F.substring(low, 1, 200).alias("label"), F.col("lang").alias("signal"))
+    label = d.select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "macro").when(F.col("doc_id") % 3 == 1, "neighborhood").otherwise("micro").alias("layer"), low.alias("label"), F.col("lang").alias("signal"))
     checks = spark.createDataFrame([("english", ["the", "with"], ["en"]), ("german", ["und", "der "], ["de"])], "flag string, label_terms array<string>, signal_terms array<string>")
     return S.contradictions(label, checks)
 
@@ -197,7 +197,7 @@ def hit_test(spark, sf):
 
 
 PTS = "p as (select vec_id as id, label as cluster, embedding[1]::double as x, embedding[2]::double as y from embeddings)"
-LABELS = "c as (select distinct label as cluster, 'label ' || label as label from embeddings), r as (select (doc_id % 10)::int as cluster, doc_id as ord, source as new_label from documents where doc_id % 7 < 3)"
+LABELS = "c as (select distinct label as cluster, 'label ' || label as label from embeddings), r as (select (doc_id % 10)::int as cluster, doc_id as ord, source as new_label from documents)"
 
 QUERIES = {
     "nested_normalize": (nested_normalize, "select event_id, nullif(trim(event_type), '') as kind, year(ts)::bigint as year, (floor(year(ts) / 10) * 10)::bigint || 's' as decade, json_extract(props, '$.k')::bigint as k from events"),
@@ -217,14 +217,14 @@ QUERIES = {
  case when r >= 7.0 and v < 800 then 'status: small-audience favorite' end, case when r < 6.0 and v >= 1000 then 'status: possible b-movie or misfire' end], lambda x: x is not null), '; '), '') as tags from p"""),
     "shard_modulo": (shard_modulo, "select (c_custkey % 100)::int as shard, count(*) as n, min(c_custkey) as first from customer group by 1"),
     "verdict_counts": (verdict_counts, "select event_type, value > 50 as big, count(*) as n from events group by all"),
-    "duplicate_titles": (duplicate_titles, "select label, count(*) as n, min(doc_id) as first from (select doc_id, trim(regexp_replace(lower(text[1:40]), '[^a-z0-9]+', ' ', 'g')) as label from documents) where label <> '' group by 1 having count(*) > 1"),
+    "duplicate_titles": (duplicate_titles, "select label, count(*) as n, min(doc_id) as first from (select doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) as label from documents) where label <> '' group by 1 having count(*) > 1"),
     "label_repair_final": (label_repair_final, f"with {LABELS} select c.cluster, coalesce(arg_max(new_label, ord), any_value(label)) as label from c left join r on c.cluster = r.cluster group by 1"),
     "label_repair_log": (label_repair_log, f"with {LABELS}, x as (select c.cluster, ord, coalesce(lag(new_label) over (partition by c.cluster order by ord), label) as old, new_label as new from c join r on c.cluster = r.cluster) select * from x where old is distinct from new"),
-    "neighbor_repair": (neighbor_repair, KNN.format(k=10) + f""", n as (select id as src, id + d as nbr, floor((0.86::double - 0.025::double * (d - 1)) * 1e6 + 0.5) / 1e6 as sim, 0 as part, d - 1 as place from v, (values (1), (2)) t(d) where id % 5 = 0),
- a as (select * from n union all select src, nbr, sim, 1, rank from knn where src % 5 = 0), o as (select * from a where src <> nbr qualify row_number() over (partition by src, nbr order by part, place) = 1),
+    "neighbor_repair": (neighbor_repair, KNN.format(k=10) + f""", n as (select id as src, id + d as nbr, floor((0.86::double - 0.025::double * (d - 1)) * 1e6 + 0.5) / 1e6 as sim, 0 as part, d - 1 as place from v, (values (1), (2)) t(d)),
+ a as (select * from n union all select src, nbr, sim, 1, rank from knn), o as (select * from a where src <> nbr qualify row_number() over (partition by src, nbr order by part, place) = 1),
  r as (select src, nbr, sim, part, row_number() over (partition by src order by part, place) as rank from o qualify rank <= 12 or part = 0)
- select src, nbr, {fix('sim')} as sim, rank from r union all select src, nbr, {fix('sim')}, rank from knn where src % 5 <> 0"""),
-    "label_contradictions": (label_contradictions, """with l as (select doc_id as id, case doc_id % 3 when 0 then 'macro' when 1 then 'neighborhood' else 'micro' end as layer, lower(text)[1:200] as label, lang as signal from documents)
+ select src, nbr, {fix('sim')} as sim, rank from r"""),
+    "label_contradictions": (label_contradictions, """with l as (select doc_id as id, case doc_id % 3 when 0 then 'macro' when 1 then 'neighborhood' else 'micro' end as layer, lower(text) as label, lang as signal from documents)
  select id, layer, flag, case when layer = 'micro' then 2 else 1 end as severity from l, (values ('english', 'the', 'with', 'en'), ('german', 'und', 'der ', 'de')) c(flag, a, b, s) where layer <> 'macro' and (contains(label, a) or contains(label, b)) and not contains(signal, s)"""),
     "weak_clusters": (weak_clusters, "with v as (select vec_id as id, label as cluster, list_transform(embedding, lambda x: x::double) as e from embeddings), c as (select a.cluster, avg(list_cosine_similarity(a.e, b.e)) as coherence from v a join v b on a.cluster = b.cluster and a.id < b.id group by 1), s as (select cluster, max(n) / sum(n) as share from (select cluster, lang, count(*) as n from v join documents on id = doc_id group by all) group by 1)"
      + f", e as (select case when c.cluster < 5 then 'low' else 'high' end as layer, c.cluster, coherence, share from c join s on c.cluster = s.cluster) select layer, cluster, {fix('coherence')} as coherence, {fix('share')} as share, row_number() over (partition by layer order by coalesce(coherence, 0), share, cluster) as rank from e where coherence < 0.57 or share < 0.35 qualify rank <= 4"),

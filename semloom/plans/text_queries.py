@@ -40,7 +40,7 @@ def token_cost(spark, sf):
 
 
 def title_tokens(spark, sf):
-    return docs(spark, sf).select("id", F.array_join(X.title_tokens(F.substring("text", 1, 80)), " ").alias("tokens"))
+    return docs(spark, sf).select("id", F.array_join(X.title_tokens(F.col("text")), " ").alias("tokens"))
 
 
 def collapse_repeats(spark, sf):
@@ -103,7 +103,7 @@ QUERIES = {
     "shorten": (digest("shorten", lambda c: X.shorten(c, 60)), sql_digest(f"case when length({CLEAN}) <= 60 then {CLEAN} else rtrim({CLEAN}[1:59]) || '...' end")),
     "content_hash": (lambda s, d: docs(s, d).select("id", F.sha2("text", 256).alias("hash")), "select doc_id as id, sha256(text) as hash from documents"),
     "token_cost": (token_cost, f"with t as (select source, count(*) as n, sum({TOK.format(t='text')})::bigint as tokens from documents group by 1) select source, n, tokens, {fix('tokens * 0.13::double / 1e6', 9)} as usd from t"),
-    "title_tokens": (title_tokens, r"select doc_id as id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(translate(lower(text[1:80]), '-‑:', '   '), '\s+'), lambda w: length(w) > 3 and w not in ('the', 'a', 'an', 'of', 'and', 'or', 'part', 'chapter', 'movie')))), ' '), '') as tokens from documents"),
+    "title_tokens": (title_tokens, r"select doc_id as id, coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(translate(lower(text), '-‑:', '   '), '\s+'), lambda w: length(w) > 3 and w not in ('the', 'a', 'an', 'of', 'and', 'or', 'part', 'chapter', 'movie')))), ' '), '') as tokens from documents"),
     "collapse_repeats": (collapse_repeats, r"""with w as (select doc_id as id, list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '') as ws from documents), u as (select id, unnest(ws) as w, generate_subscripts(ws, 1) as pos from w), k as (select *, lower(regexp_replace(w, '[^A-Za-z0-9_]+', '', 'g')) as k from u),
  c as (select *, lag(k) over (partition by id order by pos) as p from k), r as (select *, sum(case when k = p and k <> '' then 0 else 1 end) over (partition by id order by pos) as run from c), n as (select *, row_number() over (partition by id, run order by pos) as n from r)
  select w.id, coalesce(count(pos), 0)::bigint as n, md5(coalesce(string_agg(n.w, ' ' order by pos), '')) as digest from w left join (select * from n where n <= 2 or k = '') n on w.id = n.id group by w.id"""),
