@@ -2,9 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and returns a DataFrame,
 which is written as Parquet and read again as the next one's docs. All but the last return the
-columns of documents. Quality rules, near-dedup and decontamination judge each row by itself under a key of its own
+columns of documents. Quality rules, near-dedup, decontamination and mixing judge each row by itself under a key of its own
 (a 64-bit hash of all its columns), whatever its doc_id; near-dedup leaves one of rows equal in all columns.
-In mixing, rows that share a doc_id go or stay together; null doc_ids are keys like others.
 """
 
 from __future__ import annotations
@@ -19,12 +18,6 @@ from semloom.llm.queries import TARGETS, domains, labels
 SHARDS = 24
 
 
-def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among ids (null equals null)."""
-    ids = ids.select(F.col("doc_id").alias("_kept"))
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept"]), "left_semi")
-
-
 def _keyed(docs: DataFrame) -> DataFrame:
     """docs with column row: a hash of all columns, in which null differs from any value."""
     return docs.withColumn("row", F.xxhash64(*docs.columns, *[F.col(c).isNull() for c in docs.columns]))
@@ -64,8 +57,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Clean documents, and the others drawn by their rate, at most once each, so that their token shares beside the clean ones come to the targets."""
-    mixed = soft_mixing.mix(docs, domains(labels(spark, sf_dir)), TARGETS, most=1.0, held="clean")
-    return _keep(docs, mixed.where("copies > 0"))
+    rows = _keyed(docs)
+    mixed = soft_mixing.mix(_by_row(rows), domains(labels(spark, sf_dir)), TARGETS, most=1.0, held="clean", texts=docs)
+    return _keep_rows(rows, mixed.where("copies > 0"))
 
 
 def shard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,13 +52,13 @@ def sample_texts(docs: DataFrame, ids: DataFrame, rows: int) -> DataFrame:
     return found.groupBy(*ids.columns).agg(F.min("text").alias("text"))
 
 
-def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def connected_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node of undirected edges (a, b): root is the smallest node reachable.
 
     Alternates large-star and small-star steps until the edges stay the same. A node's
     smallest neighbour is a partial aggregate, and is joined back, so a hub's neighbours
     never meet in one task as a list; AQE splits a hub's join partition.
-    Null nodes are dropped; no edges give no rows.
+    Null nodes are dropped; no edges give no rows. Rounds grow with the log of the longest path; it is an error if `rounds` don't do.
     """
     now = written(
         edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "cc"
@@ -76,6 +76,8 @@ def connected_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = written(small.union(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "cc")
+    else:
+        raise RuntimeError(f"components still change after {rounds} rounds")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
         now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     )

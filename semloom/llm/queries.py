@@ -28,7 +28,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bucket(n: int):
-    """crc32 of doc_id as text, mod n: which rows are held out of learning."""
+    """crc32 of doc_id as text, mod n: which rows are held out of learning. Null for a null doc_id, which has no label and isn't held out."""
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(n))
 
 
@@ -49,7 +49,7 @@ def op2_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_nb_svm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = labels(spark, sf_dir).where(bucket(3) != 1).select("doc_id", F.col("quality").alias("label"))
     out = ngram_svm.quality(documents(spark, sf_dir), learn)
-    return out.select("doc_id", (bucket(3) == 1).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(bucket(3) == 1, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op4_template_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,7 +75,7 @@ def op8_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_string_kernel_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     learn = labels(spark, sf_dir).where(bucket(5) != 0).select("doc_id", F.col("toxic").alias("label"))
     out = string_kernel.toxicity(documents(spark, sf_dir), learn)
-    return out.select("doc_id", (bucket(5) == 0).alias("held_out"), "score", "predicted")
+    return out.select("doc_id", F.coalesce(bucket(5) == 0, F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

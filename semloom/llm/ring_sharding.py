@@ -1,7 +1,8 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
 Every shard owns VNODES points of a 32-bit ring. A key hashes to a position and belongs to the
-first point clockwise; keys arrive in the order of a second hash, and a key whose shard is
+first point clockwise; keys arrive in the order of a second hash (of the key and the text's checksum, so the rows of a hot key are dealt to all
+slices), slice by slice and within a slice arc by arc, and a key whose shard is
 full goes on clockwise to the next shard with room. Which keys overflow depends on counts alone, so the
 plan is made from a histogram of bounded size (ring arcs x arrival slices, whatever the number
 of rows), and a slice that overflows is cut at an exact rank: loads hold to the row.
@@ -10,7 +11,7 @@ With bound=None the capacities are exact: row counts of any two shards differ by
 With bound=0.05 no shard holds over 1.05 times the mean, and fewer keys leave home.
 
 Null doc_id is a key like any other. Null text has size 8 and the checksum of ''. Repeated rows
-are dealt one by one (ties by checksum; equal rows are interchangeable). An empty table gives no rows.
+are dealt one by one (ties by checksum; equal rows are interchangeable). Columns named shard, slot or home are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -68,7 +69,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, bound: float | None = None, vn
     where = F.pmod(F.xxhash64(key, F.lit("place")), F.lit(RING))
     # the first point at or after the position, found by halving; past the last one it wraps to the first
     arc = F.expr(_search(at, "_at"))
-    keyed = docs.withColumn("_at", where).withColumn("_come", F.xxhash64(key, F.lit("arrival")))
+    keyed = docs.withColumn("_at", where).withColumn("_come", F.xxhash64(key, *[F.col(c) for c in ("text_crc32",) if c in docs.columns], F.lit("arrival")))
     keyed = keyed.withColumn("_arc", arc).withColumn("_slice", F.pmod(F.col("_come"), F.lit(SLICES)).cast("int"))
     seen = keyed.groupBy("_slice", "_arc").count().collect()  # at most SLICES x shards x vnodes rows
     counts = {(r["_slice"], r["_arc"]): r["count"] for r in seen}
@@ -83,7 +84,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, bound: float | None = None, vn
     to = F.element_at(F.filter("_to", lambda x: x["_rank"] <= F.col("_n")), -1)
     home = F.element_at(F.array(*[F.lit(s) for s in owners]), F.col("_arc") + 1)
     return dealt.withColumn("_to", to).select(
-        *docs.columns,
+        *[c for c in docs.columns if c not in ("shard", "slot", "home")],
         F.col("_to.shard").alias("shard"),
         (F.col("_to._slot") + F.col("_n") - F.col("_to._rank")).alias("slot"),
         home.cast("int").alias("home"),

@@ -25,6 +25,8 @@ LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvw
 SEED = 42
 GROUP = 32  # members of a leaf, leaves of an upper group
 SMALL = 32  # nodes up to this size are compared at once, lag by lag
+#: Shared fingerprints up to which they are broadcast (16 bytes each); beyond, Spark shuffles, and AQE splits a hot one.
+BROADCAST_ROWS = 1_000_000
 HOT = 20_000  # values of a node before it is split over its free bits
 
 
@@ -168,13 +170,15 @@ def links(values: DataFrame, k: int = 4, blocks: int = 6, hot: int = HOT) -> Dat
 def near_duplicates(docs: DataFrame, k: int = 4) -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of docs (doc_id, text)."""
     fps = written(fingerprints(docs), "fps")
-    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first")), "first")
+    first = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "first")
     found = written(connected_components(links(first, k)), "found")
     least = (
         found.join(first, found.node == first.fp).groupBy("root").agg(F.min("first").alias("component_id"))
     )
     joined = found.join(least, "root").select(F.col("node").alias("fp"), "component_id")
-    of_fp = first.join(joined, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(of_fp, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
+    shared = first.join(joined, "fp", "left").where("n > 1 or component_id is not null")  # fingerprints that aren't alone
+    shared = written(shared.select("fp", F.coalesce("component_id", "first").alias("component_id")), "shared")
+    few = F.broadcast(shared) if shared.count() <= BROADCAST_ROWS else shared
+    return fps.join(few, "fp", "left").select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id")
     )

@@ -27,11 +27,11 @@ RIDGE = 1e-6
 MOST = float("inf")
 
 
-def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = SAMPLE) -> DataFrame:
-    """(doc_id, tokens, p0 .. pK-1): one-against-rest models on labelled (doc_id, domain), normalised."""
+def posteriors(docs: DataFrame, labelled: DataFrame, domains: list[str], rows: int = SAMPLE, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tokens, p0 .. pK-1): one-against-rest models on labelled (doc_id, domain) and their texts (docs if not given), normalised."""
     small_batches(docs.sparkSession)
     index = F.array_position(F.array(*[F.lit(d) for d in domains]), F.col("domain")).cast("int") - 1
-    ids, y = sample_indicators(docs, labelled.where(F.col("domain").isin(domains)).select("doc_id", index.alias("label")), rows)
+    ids, y = sample_indicators(docs if texts is None else texts, labelled.where(F.col("domain").isin(domains)).select("doc_id", index.alias("label")), rows)
     sent = docs.sparkSession.sparkContext.broadcast(Model(ids, [(y == k).astype(int) for k in range(len(domains))]))
     names = [f"p{k}" for k in range(len(domains))]
 
@@ -104,10 +104,10 @@ def rates(members: DataFrame, targets: list[float], steps: int = STEPS, most: fl
     return members.withColumn("rate", rate(weigh)).withColumn("residual", F.lit(residual))
 
 
-def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rows: int = SAMPLE, steps: int = STEPS, most: float = MOST, held: str | None = None) -> DataFrame:
-    """(doc_id, tokens, domain, posterior of each domain, rate, copies, residual) for every row of docs; held: see rates."""
+def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], rows: int = SAMPLE, steps: int = STEPS, most: float = MOST, held: str | None = None, texts: DataFrame | None = None) -> DataFrame:
+    """(doc_id, tokens, domain, posterior of each domain, rate, copies, residual) for every row of docs; held: see rates; texts: where the labelled rows' texts are, if not docs."""
     domains = sorted(targets)
-    members = written(posteriors(docs, labelled, domains, rows), "posteriors")
+    members = written(posteriors(docs, labelled, domains, rows, texts), "posteriors")
     out = rates(members, [targets[d] for d in domains], steps, most, None if held is None else domains.index(held))
     names = [f"p{i}" for i in range(len(domains))]
     best = F.greatest(*names) if len(names) > 1 else F.col("p0")

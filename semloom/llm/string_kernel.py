@@ -36,6 +36,7 @@ SPAN = 3  # most characters skipped inside a subsequence
 LONG = 22  # characters of a unit; longer words are cut to windows of this length
 LANDMARKS = 192
 NEGATIVES = 8_000
+GATES = (0.02, 0.1, 0.3)  # most clean contexts of a toxic unit for each toxic one; the next where the first leaves none, as under label noise
 HARD = 4_000
 CODES = (1 << 18) + (1 << 20)  # all triples of 64 letters, and hashed quadruples
 LOWEST = -3.0
@@ -268,8 +269,10 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE) -> tuple[Machi
         return None, float(share or 0.0)
     sizes = counted.groupBy(F.least(F.col("bad") + F.col("good"), F.lit(200)).alias("n")).count().collect()
     enough = next((c for c in range(2, 200) if sum(r["count"] for r in sizes if r["n"] >= c) * share**c < 1), 200)
-    picked = counted.where((F.col("bad") >= enough) & (F.col("good") <= F.col("bad") * 0.02))
-    toxic = [r["unit"] for r in picked.orderBy(F.desc("bad"), "unit").limit(2 * LANDMARKS).collect()]
+    toxic: list[str] = []
+    for gate in GATES:
+        picked = counted.where((F.col("bad") >= enough) & (F.col("good") <= F.col("bad") * gate))
+        toxic = toxic or [r["unit"] for r in picked.orderBy(F.desc("bad"), "unit").limit(2 * LANDMARKS).collect()]
     if not toxic:
         return None, float(share)
     others = counted.where(F.col("good") > 0).select("unit")
@@ -298,7 +301,7 @@ def fit(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE) -> tuple[Machi
             two = np.array([reader.highest(t) for t in pdf["text"]], np.float64).reshape(-1, 2)
             yield pd.DataFrame({"label": pdf["label"].to_numpy(), "m": two[:, 0], "n": two[:, 1]})
 
-    got = sample.mapInPandas(highest, "label int, m double, n double").orderBy("label", "m", "n").toPandas()
+    got = sample.mapInPandas(highest, "label int, m double, n double").toPandas().sort_values(["label", "m", "n"])  # at most `rows` rows
     machine.logistic = _logistic(got[["m", "n"]].to_numpy(), got["label"].to_numpy())
     return machine, float(share)
 
