@@ -112,7 +112,11 @@ QUERIES = {
     "char_budget": (char_budget, f"""with recursive t as (select conv_id, {CLEAN} as s, row_number() over (partition by conv_id order by turn, text) as i from conversations qualify i <= 4),
  r as (select conv_id, 0 as i, 180 as l, [] :: varchar[] as o from (select distinct conv_id from conversations) union all select r.conv_id, r.i + 1, case when r.l > 0 and length(trim(t.s[1:r.l])) > 0 then r.l - length(trim(t.s[1:r.l])) else r.l end, case when r.l > 0 and length(trim(t.s[1:r.l])) > 0 then list_append(r.o, trim(t.s[1:r.l])) else r.o end from r join t on t.conv_id = r.conv_id and t.i = r.i + 1)
  select conv_id, len(o)::bigint as n, coalesce(array_to_string(o, ' | '), '') as snippet from r qualify row_number() over (partition by conv_id order by i desc) = 1"""),
-    "profile_assembly": (profile_assembly, None),
+    "profile_assembly": (profile_assembly, f"""with recursive t as (select doc_id as id, unnest(string_split({MARKS}, chr(10))) as s, generate_subscripts(string_split({MARKS}, chr(10)), 1) as i from documents), c as (select id, i, trim(regexp_replace(s, '{SPACES}', ' ', 'g')) as s from t),
+ r as (select doc_id as id, 0 as i, 180 as l, []::varchar[] as o from documents union all select r.id, r.i + 1, case when length(trim(c.s[1:r.l])) > 0 then r.l - length(trim(c.s[1:r.l])) else r.l end, case when length(trim(c.s[1:r.l])) > 0 then list_append(r.o, trim(c.s[1:r.l])) else r.o end from r join c on c.id = r.id and c.i = r.i + 1 where r.l > 0),
+ k as (select id, o from r qualify row_number() over (partition by id order by i desc) = 1),
+ p as (select id, concat_ws(chr(10), case when coalesce(source, '') <> '' then 'Genres: ' || source end, case when coalesce(lang, '') <> '' then 'Keywords: ' || lang end, case when len(o) > 0 then 'Premise: ' || array_to_string(o, '; ') end) as profile from k join documents on id = doc_id)
+ select id, md5(profile) as digest, {TOK.format(t='profile')} as tokens from p"""),
     "tone_tags": (tone_tags, "with l(tone, w) as (values " + ", ".join(f"('{t}', '{w}')" for t, ws in FORMS.items() for w in ws.split()) + "), u as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]+')) as w from documents), s as (select id, tone, count(*) as score from u join l using (w) group by all) select id, tone, score, row_number() over (partition by id order by score desc, tone) as rank from s qualify rank <= 5"),
     "sentiment": (sentiment, "with u as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]+')) as w from documents), n as (select id, count(*) filter (w in ('the', 'der')) as good, count(*) filter (w in ('of', 'und')) as bad from u where w in ('the', 'der', 'of', 'und') group by 1) select *, case when good >= bad * 2 and good >= 2 then 'admiring' when bad >= good * 2 and bad >= 2 then 'critical' when good > 0 and bad > 0 then 'divided' end as verdict from n"),
     "noise_diagnostics": (noise_diagnostics, "select term, count(*) as n from documents, (values ('token'), ('mail'), ('full'), ('!!'), ('est')) v(term) where contains(lower(text), term) group by 1"),
