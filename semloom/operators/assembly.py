@@ -119,3 +119,40 @@ def halton(index: Column, base: int) -> Column:
     """Halton's low-discrepancy value of a non-negative index: its digits mirrored behind the point."""
     digits = F.reverse(F.split(F.conv(index.cast("string"), 10, base), ""))
     return F.aggregate(F.zip_with(digits, F.sequence(F.lit(1), F.size(digits)), lambda d, i: F.conv(d, base, 10).cast("double") / F.pow(F.lit(float(base)), i)), F.lit(0.0), lambda s, x: s + x)
+
+
+def cluster_evidence(assigned: DataFrame, values: DataFrame, representatives: DataFrame, coherence: DataFrame, top: int = 5, small: int = 3) -> DataFrame:
+    """(cluster, size, values, representatives, coherence, small): one row per cluster of assigned (id, cluster), outliers (-1) aside.
+
+    values (id, value): the `top` commonest of its members, as value:count, ties by value. representatives (cluster, id, rank), coherence
+    (cluster, coherence). Sizes are counted on the assignments, so members without values count too.
+    """
+    own = assigned.where("cluster >= 0").select("id", "cluster")
+    sizes = own.groupBy("cluster").agg(F.count("*").alias("size"))
+    counted = own.join(values, "id").groupBy("cluster", "value").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("cluster").orderBy(F.desc("n"), "value"))
+    best = counted.withColumn("r", place).where(F.col("r") <= top)
+    best = best.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("r", "value", "n"))).alias("v"))
+    reps = representatives.groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "id"))).alias("i"))
+    out = sizes.join(best, "cluster", "left").join(reps, "cluster", "left").join(coherence.select("cluster", "coherence"), "cluster", "left")
+    none = F.array().cast("array<string>")
+    return out.select(
+        "cluster", "size", F.coalesce(F.transform("v", lambda x: F.concat_ws(":", x["value"], x["n"].cast("string"))), none).alias("values"),
+        F.coalesce(F.transform("i", lambda x: x["id"].cast("string")), none).alias("representatives"), "coherence", (F.col("size") < small).alias("small"),
+    )
+
+
+def specificity_suffix(words: Column, cascade: list[tuple[str, str]], otherwise: Column) -> Column:
+    """The suffix of the first (part, suffix) whose part stands in the joined words, else otherwise."""
+    low = F.lower(F.array_join(words, " "))
+    out = None
+    for part, suffix in cascade:
+        out = F.when(F.contains(low, F.lit(part)), suffix) if out is None else out.when(F.contains(low, F.lit(part)), suffix)
+    return otherwise if out is None else out.otherwise(otherwise)
+
+
+def child_labels(children: DataFrame, parents: DataFrame, suffix: Column) -> DataFrame:
+    """(cluster, label): labels of children (cluster, parent, label, ..), those that repeat the parent's plain label (cluster, label) with ': ' and suffix behind them."""
+    p = parents.select(F.col("cluster").alias("parent"), F.col("label").alias("above"))
+    same = X.plain_label(F.col("label")) == X.plain_label(F.col("above"))
+    return children.join(p, "parent", "left").select("cluster", F.when(same, F.concat("label", F.lit(": "), suffix)).otherwise(F.col("label")).alias("label"))

@@ -15,6 +15,7 @@ from semloom.operators import texts as T
 from semloom.plans.text_queries import QUERIES as TEXTS
 from semloom.plans.text_queries import STOP, docs
 from semloom.plans.vector_queries import KNN, V, fix
+from semloom.plans.vector_queries import QUERIES as VECTORS
 from semloom.sources.tables import layers, table, vectors
 
 
@@ -131,6 +132,20 @@ def usage_totals(spark, sf):
     return e.groupBy("event_type").agg(F.count("*").alias("calls"), F.coalesce(F.sum(k), F.lit(0)).cast("long").alias("tokens"), fixed(F.coalesce(F.sum(k), F.lit(0)) * 0.15 / 1e6, 9).alias("usd"))
 
 
+def cluster_evidence(spark, sf):
+    v = vectors(spark, sf)
+    values = docs(spark, sf).select("id", F.col("source").alias("value"))
+    out = B.cluster_evidence(v, values, C.representatives(v), C.coherence(v), 5, 40)
+    return out.select("cluster", "size", F.array_join("values", ",").alias("sources"), F.array_join("representatives", ",").alias("ids"), fixed(F.col("coherence")).alias("coherence"), "small")
+
+
+def child_labels(spark, sf):
+    s = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("cluster"), F.col("s_nationkey").alias("parent"), F.concat(F.lit("Part-"), (F.col("s_suppkey") % 3).cast("string")).alias("label"), F.split("s_name", "#").alias("words"))
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").alias("cluster"), F.concat(F.lit("part "), (F.col("n_nationkey") % 3).cast("string")).alias("label"))
+    suffix = B.specificity_suffix(F.col("words"), [("7", "Seven"), ("3", "Three")], F.lit("Region"))
+    return B.child_labels(s, n, suffix)
+
+
 CLUSTER_TERMS = TEXTS["cluster_terms"][1]
 PATHS = "n as (select vec_id as id, 'Area ' || (label // 4)::int as macro, 'area-' || (label // 2)::int as neighborhood, 'Spot ' || label as micro from embeddings), r as (select id, lower(macro) = replace(neighborhood, '-', ' ') as repeated from n)"
 FLAGS = PATHS + """, f as (select doc_id as id, 'missing_point' as type, 3 as severity from documents where doc_id not in (select id from n)
@@ -168,6 +183,10 @@ QUERIES = {
     "keyword_set": (keyword_set, "select doc_id as id, md5(coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(string_split(coalesce(text, ''), ' '), lambda w: lower(w)), lambda w: w <> '' and w not in ('the', 'und', 'les', 'una')))), ' '), '')) as digest from documents"),
     "halton_offsets": (halton_offsets, f"select a.id as c_custkey, {fix('a.r', 9)} as x, {fix('b.r', 9)} as y from {_halton(2)} a join {_halton(3)} b on a.id = b.id"),
     "usage_totals": (usage_totals, f"select event_type, count(*) as calls, coalesce(sum((props->>'k')::bigint), 0)::bigint as tokens, {fix('coalesce(sum((props->>$$k$$)::bigint), 0) * 0.15::double / 1e6', 9)} as usd from events group by 1"),
+    "cluster_evidence": (cluster_evidence, f"""with rep as ({VECTORS['representatives'][1]}), coh as ({VECTORS['cluster_coherence'][1]}), n as (select label as cluster, count(*) as size from embeddings group by 1),
+ c as (select label as cluster, source, count(*) as k from embeddings join documents on vec_id = doc_id group by 1, 2), b as (select cluster, string_agg(source || ':' || k, ',' order by k desc, source) as sources from (select * from c qualify row_number() over (partition by cluster order by k desc, source) <= 5) group by 1)
+ select n.cluster, size, coalesce(sources, '') as sources, coalesce((select string_agg(id::varchar, ',' order by rank) from rep where rep.cluster = n.cluster), '') as ids, coherence, size < 40 as small from n left join b on n.cluster = b.cluster left join coh on n.cluster = coh.cluster"""),
+    "child_labels": (child_labels, "select s_suppkey as cluster, 'Part-' || (s_suppkey % 3) || case when s_suppkey % 3 = n_nationkey % 3 then ': ' || case when contains(s_name, '7') then 'Seven' when contains(s_name, '3') then 'Three' else 'Region' end else '' end as label from supplier left join nation on s_nationkey = n_nationkey"),
     "evidence_warnings": (evidence_warnings, f"""with ct as ({CLUSTER_TERMS}), n as (select lang as cluster, count(*) as size from documents group by 1)
  select cluster, coalesce(string_agg(term, ',' order by rank) filter (term in ('and', 'der', 'de', 'en')), '') as noisy, any_value(size) < 50 as small from ct join n using (cluster) group by 1"""),
 }
