@@ -5,12 +5,15 @@ holds a document's ids and its place in its range. ORC encodes the integers in r
 ROWS rows of a stripe, and carries a Bloom filter of doc_id, so readers split by stripe and skip
 stripes and row groups by statistics. Global starts follow from one number per range.
 
-Null text counts as empty: the end id alone. Null doc_ids come first. Rows with equal doc_id follow each other, ordered by text.
+Null text counts as empty: the end id alone. Null doc_ids come first. Rows with equal doc_id follow each other, ordered by a hash
+of the text and then by their place in the table, so a doc_id that holds a third of all rows is dealt to many ranges.
 An empty table gives an empty folder and no rows. Extra columns are ignored.
 """
 
 from __future__ import annotations
 
+import os
+import re
 import zlib
 from itertools import accumulate, chain
 
@@ -26,9 +29,11 @@ from semloom.llm.token_cache import Ragged, WordTable
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 TAIL = ".,!?;:%$&*#|"
-MARKS = TAIL.encode()
+#: TAIL marks behind an ASCII letter or digit or a Latin-1 letter (two bytes of UTF-8), at the end of a word.
+BEHIND = re.compile(rb"[.,!?;:%$&*#|](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:%$&*#|]*(?=\s|\Z)")
 JOINED = 256  # letter pieces in a call
-HELD = 800_000  # words in a worker's cache before it starts anew
+HELD = 112 << 20  # bytes in a worker's cache before it starts anew: what pieces take, with OBJECT bytes for each
+OBJECT = 150
 STRIPE = 16 << 20
 ROWS = 1000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -37,12 +42,13 @@ SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>
 class Encoder:
     """Ids of texts by the tokenizers library, each distinct piece encoded once and cached.
 
-    The vocabulary's pre-tokeniser never joins what ASCII white space parts, nor letters with marks behind them. A word is
-    letters and the marks in TAIL behind it where it has that form, else one piece. New pieces of letters or TAIL
+    The vocabulary lower-cases, and its pre-tokeniser never joins what ASCII white space parts, nor letters or digits with marks behind
+    them. So texts are cut to pieces: words, and the TAIL marks behind them. New pieces of letters or TAIL
     marks are encoded many to a call: each is one pre-token, and its last id is of a word's end.
     """
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker on each core
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(vocabulary)
@@ -52,12 +58,21 @@ class Encoder:
         self.reset()
 
     def reset(self):
-        self.words, self.pieces, self.ids = WordTable(), WordTable(), Ragged()
-        self.parts, self.n = np.full((1 << 14, 2), -1, np.int32), 0  # a word's pieces
+        self.pieces, self.ids, self.held = WordTable(), Ragged(), 0
 
-    def learn_pieces(self, fresh: list[str]) -> None:
+    def letters(self, text: str) -> bool:
+        """Letters alone, also once the vocabulary has normalised them (lower-casing may give combining marks)."""
+        return text.isalpha() and (text.isascii() or self.model.normalizer is None or self.model.normalizer.normalize_str(text).isalpha())
+
+    def parts(self, text: str) -> list[str]:
+        """The piece, or its letters and the TAIL marks behind them."""
+        body = text.rstrip(TAIL)
+        return [body, text[len(body) :]] if len(body) < len(text) and self.letters(body) else [text]
+
+    def learn(self, raw: list[bytes]) -> None:
+        fresh = [r.decode("utf-8", "replace") for r in raw]
         first = self.ids.grow(len(fresh))
-        plain = np.array([p.isalpha() or not p.strip(TAIL) for p in fresh])
+        plain = np.array([self.letters(p) or not p.strip(TAIL) for p in fresh])
         odd = np.flatnonzero(~plain)
         plain = np.flatnonzero(plain)
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
@@ -69,43 +84,24 @@ class Encoder:
                 self.ids.put(first + g, ids, np.diff(ends, prepend=-1))
             else:
                 odd = np.concatenate([odd, g])
-        for i, x in zip(odd, self.model.encode_batch_fast([fresh[i] for i in odd], add_special_tokens=False)):
-            self.ids.put(np.array([first + i]), np.array(x.ids, np.int32), np.array([len(x.ids)]))
-
-    def learn_words(self, fresh: list[bytes]) -> None:
-        while self.n + len(fresh) > len(self.parts):
-            self.parts = np.concatenate([self.parts, np.full_like(self.parts, -1)])
-        a, b = [], []
-        for word in fresh:
-            body = word.rstrip(MARKS)
-            letters = body.lower().decode() if body.isalpha() else body.decode("utf-8", "replace")
-            if letters.isalpha():
-                a.append(self.pieces[letters])
-                b.append(self.pieces[word[len(body) :].decode()] if len(body) < len(word) else -1)
-            else:
-                a.append(self.pieces[word.decode("utf-8", "replace")])
-                b.append(-1)
-        self.parts[self.n : self.n + len(fresh), 0] = a
-        self.parts[self.n : self.n + len(fresh), 1] = b
-        self.n += len(fresh)
+        cut = [self.parts(fresh[i]) for i in odd]
+        made = iter(self.model.encode_batch_fast(list(chain.from_iterable(cut)), add_special_tokens=False))
+        for i, c in zip(odd, cut):
+            ids = np.array(list(chain.from_iterable(next(made).ids for _ in c)), np.int32)
+            self.ids.put(np.array([first + i]), ids, np.array([len(ids)]))
+        self.held += sum(map(len, raw)) * 2 + OBJECT * len(raw)
 
     def encode(self, raws: list[bytes], end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts one after the other, each closed by end; their sizes)."""
-        if self.words.full(HELD):
+        if self.held > HELD:
             self.reset()
-        words = [r.split() for r in raws]
-        rows = self.words.rows(list(chain.from_iterable(words)))
-        if self.words.fresh:
-            self.learn_words(self.words.fresh)
-            self.words.fresh = []
+        pieces = [BEHIND.sub(rb" \g<0>", r.lower()).split() for r in raws]
+        rows = self.pieces.rows(list(chain.from_iterable(pieces)))
         if self.pieces.fresh:
-            self.learn_pieces(self.pieces.fresh)
+            self.learn(self.pieces.fresh)
             self.pieces.fresh = []
-        parts = self.parts[rows]
-        size = self.ids.sizes[parts[:, 0]] + np.where(parts[:, 1] >= 0, self.ids.sizes[parts[:, 1]], 0)
-        ends = np.concatenate([[0], np.cumsum(size)])[np.cumsum([len(w) for w in words])]
-        flat = parts.ravel()
-        ids = np.insert(self.ids.gather(flat[flat >= 0]), ends, end)
+        ends = np.concatenate([[0], np.cumsum(self.ids.sizes[rows], dtype=np.int64)])[np.cumsum([len(w) for w in pieces])]
+        ids = np.insert(self.ids.gather(rows), ends, end)
         return ids, np.diff(ends, prepend=0) + 1
 
 
@@ -145,8 +141,10 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> No
             )
             start += int(ends[-1])
 
-    ranged = docs.select("doc_id", text_of().alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    made = ranged.mapInArrow(work, SCHEMA)
+    rows = docs.select("doc_id", text_of().alias("text"), F.monotonically_increasing_id().alias("place"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    ranged = rows.repartitionByRange("doc_id", "h", "place").sortWithinPartitions("doc_id", "h", "place")
+    made = ranged.select("doc_id", "text").mapInArrow(work, SCHEMA)
     made.write.option("orc.bloom.filter.columns", "doc_id").option("orc.bloom.filter.fpp", "0.01").option(
         "orc.stripe.size", str(STRIPE)
     ).option("orc.row.index.stride", str(ROWS)).orc(path)
