@@ -1,12 +1,12 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
-Numbers, names (capitalised words inside a sentence) and units after numbers become typed
-placeholders; windows of WINDOW template words of every document meet those of the benchmark items in a
+White space counts as single spaces. Numbers, names (words inside a sentence with a capital and then a small letter) and units after numbers become typed
+placeholders; all else counts in lower case, so words all in capitals do too; windows of WINDOW template words of every document meet those of the benchmark items in a
 hash join. Windows with fewer than LITERALS plain words don't count. Then slots are held side by side: in
 one alignment of a document with an item, equal slot values of the item must stand for equal
-values in the document, else the windows that hold such a torn slot don't count; so a question with other numbers and
+values in the document, and different names for different names, else the windows that hold such a torn slot don't count; so a question with other numbers and
 names counts, an accidental template doesn't. Items stand as written and in lower case. An item is found if its windows are
-covered to SHARE, if RUN of its words follow each other word by word, or if an alignment without torn
+covered to SHARE by alignments close to each other (a word more or less shifts them), if RUN of its words follow each other word by word, or if an alignment without torn
 slots holds NEAR of its template words.
 
 Null texts are empty: no windows, not contaminated. An item with fewer than WINDOW words is one window; with fewer than LITERALS
@@ -36,30 +36,59 @@ BROADCAST_ROWS = 500_000
 #: Units that may follow a number.
 UNITS = "kg|mg|g|lb|lbs|oz|km|cm|mm|m|mi|ft|in|yd|l|ml|s|ms|sec|min|h|hr|hrs|hour|hours|minute|minutes|second|seconds|day|days|week|weeks|month|months|year|years|mph|kmh|usd|eur|dollars|cents|euros|percent|meters|metres|miles|feet|inches|grams|kilograms|kilometers|kilometres|liters|litres|degrees"
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
-SLOT = f"[{NUMBER}-{UNIT}]"
 
 
 def valued(text):
     """Words of the text, lower case; a slot starts with its placeholder and holds its value."""
-    s = F.regexp_replace(text, SLOT, " ")
+    s = F.regexp_replace(text, f" *[{NUMBER}-{UNIT}\\t-\\r\\x85\\xa0\\u2028\\u2029][{NUMBER}-{UNIT}\\t-\\r\\x85\\xa0\\u2028\\u2029 ]*| {{2,}}", " ")
     s = F.regexp_replace(s, r"[0-9]+", f" {NUMBER}$0 ")
-    s = F.regexp_replace(s, r"(?<=[\p{L},;:] )(?=\p{Lu})", NAME)
-    s = F.regexp_replace(F.lower(s), f"(?<={NUMBER}[0-9]{{1,30}} {{1,3}})(?=(?:{UNITS})(?![\\p{{L}}]))", UNIT)
-    words = F.split(F.trim(F.regexp_replace(s, rf"[^\p{{L}}\p{{N}}{NUMBER}-{UNIT}]+", " ")), " ")
+    s = F.regexp_replace(s, r" (?<=[\p{L},;:] )(?=\p{Lu}\p{Ll})", f" {NAME}")
+    s = F.regexp_replace(F.lower(s), f"({NUMBER}[0-9]+ {{1,3}})(?=(?:{UNITS})(?![\\p{{L}}]))", f"$1{UNIT}")
+    words = F.split(F.regexp_replace(s, rf"[^\p{{L}}\p{{N}} {NUMBER}-{UNIT}]+", " "), " ")
     return F.filter(words, lambda w: w != "")
 
 
+def is_slot(w):
+    return (w >= NUMBER) & (w < chr(ord(UNIT) + 1))
+
+
+def reduced(w):
+    """The word, or the placeholder of a slot."""
+    return F.when(is_slot(w), F.substring(w, 1, 1)).otherwise(w)
+
+
 def template(words):
     """The words with slots reduced to their placeholder."""
-    return F.transform(words, lambda w: F.when(w.rlike(f"^{SLOT}"), F.substring(w, 1, 1)).otherwise(w))
+    return F.transform(words, reduced)
+
+
+def codes(words):
+    return F.transform(words, lambda w: F.xxhash64(reduced(w)))
+
+
+def window_hash(c, m):
+    """Hash of the m codes c: of WINDOW codes by pairs of pairs, as windows() makes it for all places at once."""
+    level = [F.get(c, F.lit(i)) for i in range(WINDOW)]
+    while len(level) > 1:
+        level = [F.xxhash64(a, b) for a, b in zip(level[::2], level[1::2])]
+    return F.when(m == WINDOW, level[0]).otherwise(F.xxhash64(c))
 
 
 def windows(docs: DataFrame, key: str, n: int = WINDOW) -> DataFrame:
     """(key, pos, h) for each n-word template window of the texts."""
-    coded = docs.select(key, F.transform(template(valued(text_of())), lambda w: F.xxhash64(w)).alias("codes"))
-    starts = F.when(F.size("codes") >= n, F.sequence(F.lit(0), F.size("codes") - n)).otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(F.col("codes"), i + 1, F.lit(n))))
-    return coded.select(key, F.posexplode(hashes).alias("pos", "h"))
+    def step(c, by):
+        """Hashes of each code with the one `by` places on."""
+        ahead = lambda x: F.zip_with(F.slice(x, 1, F.greatest(F.size(x) - by, F.lit(0))), F.slice(x, by + 1, F.size(x) + 1), lambda a, b: F.xxhash64(a, b))
+        return F.transform(F.array(c), ahead)[0]  # the lambda makes c once
+
+    made = codes(valued(text_of()))
+    if n == WINDOW:  # hashes of 2, 4, 8 codes from each place on
+        hashes = step(step(step(made, 1), 2), 4)
+    else:
+        starts = lambda c: F.when(F.size(c) >= n, F.sequence(F.lit(0), F.size(c) - n)).otherwise(F.array().cast("array<int>"))
+        hashes = F.transform(F.array(made), lambda c: F.transform(starts(c), lambda i: F.xxhash64(F.slice(c, i + 1, F.lit(n)))))[0]
+    # outer: without it Spark would make the array once more, to leave empty ones out
+    return docs.select(key, F.posexplode_outer(hashes).alias("pos", "h")).where("h is not null")
 
 
 def benchmark_words(items: DataFrame) -> DataFrame:
@@ -72,13 +101,12 @@ def benchmark_words(items: DataFrame) -> DataFrame:
 def benchmark_windows(words: DataFrame, n: int = WINDOW, literals: int = LITERALS) -> DataFrame:
     """(item_id, form, ipos, h, slots, n_windows) of the usable windows of benchmark_words; an item of fewer than n words is one window."""
     words = words.where(F.size("words") > 0).withColumn("m", F.least(F.size("words"), F.lit(n)))
-    coded = words.withColumn("codes", F.transform(template(F.col("words")), lambda w: F.xxhash64(w)))
+    coded = words.withColumn("codes", codes("words"))
     at = coded.withColumn("ipos", F.explode(F.sequence(F.lit(0), F.size("codes") - F.col("m"))))
     at = at.withColumn("slots", F.slice("words", F.col("ipos") + 1, F.col("m")))
-    plain = F.size(F.filter("slots", lambda w: ~w.rlike(f"^{SLOT}")))
-    at = at.where(plain >= literals).select(
-        "item_id", "form", "ipos", F.xxhash64(F.slice("codes", F.col("ipos") + 1, F.col("m"))).alias("h"), "slots"
-    )
+    plain = F.size(F.filter("slots", lambda w: ~is_slot(w)))
+    at = at.where(plain >= literals).withColumn("codes", F.slice("codes", F.col("ipos") + 1, F.col("m")))
+    at = at.select("item_id", "form", "ipos", window_hash(F.col("codes"), F.col("m")).alias("h"), "slots")
     count = at.groupBy("item_id", "form").agg(F.countDistinct("ipos").alias("n_windows"))
     return at.join(count, ["item_id", "form"])
 
@@ -118,18 +146,24 @@ def contamination(docs: DataFrame, items: DataFrame, n: int = WINDOW, share: flo
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids  # so that only their texts move, not all
     texts = rows.join(ids, "row", "left_semi").groupBy("row").agg(F.min("text").alias("text"))
     texts = written(texts.select("row", valued(F.col("text")).alias("words")), "hitwords")
-    slotted = F.exists("slots", lambda w: w.rlike(f"^{SLOT}"))
+    slotted = F.exists("slots", is_slot)
     paired = found.where(slotted).join(texts, "row").withColumn("own", F.slice("words", F.col("pos") + 1, F.size("slots"))).drop("words")
     plain = found.where(~slotted).withColumn("own", F.col("slots"))
     marked = plain.unionByName(paired).withColumn("literal", F.col("own") == F.col("slots"))
     marked = written(marked.select(*AT, "ipos", "n_windows", "slots", "own", "literal"), "marked")
     slot = marked.select(*AT, F.explode(F.arrays_zip("slots", "own")).alias("z"))
-    slot = slot.where(F.col("z.slots").rlike(f"^{SLOT}") & F.col("z.own").isNotNull())
-    split = slot.groupBy(*AT, "z.slots").agg((F.min("z.own") != F.max("z.own")).alias("torn"))
-    torn = written(split.where("torn").groupBy(*AT).agg(F.collect_set("slots").alias("torn")), "torn")
+    slot = slot.where(is_slot(F.col("z.slots")) & F.col("z.own").isNotNull()).select(*AT, "z.slots", "z.own").distinct()
+    split = slot.groupBy(*AT, "slots").agg(F.min("own").alias("lo"), F.max("own").alias("hi")).where("lo <> hi")
+    names = slot.where(F.col("slots").startswith(NAME))
+    merged = names.groupBy(*AT, "own").agg(F.min("slots").alias("lo"), F.max("slots").alias("hi")).where("lo <> hi")
+    merged = names.join(merged.select(*AT, "own"), [*AT, "own"]).select(*AT, "slots")
+    torn = split.select(*AT, "slots").union(merged)
+    torn = written(torn.groupBy(*AT).agg(F.collect_set("slots").alias("torn")), "torn")  # at most an item's slots
     sound = marked.join(torn, AT, "left").where(F.col("torn").isNull() | ~F.arrays_overlap("slots", "torn"))
     of = ["row", "item_id", "form"]
-    cover = sound.groupBy(*of).agg((F.countDistinct("ipos") / F.first("n_windows")).alias("coverage"))
+    near_by = F.array(F.struct(F.lit(0).alias("k"), F.floor(F.col("shift") / (2 * n)).alias("at")), F.struct(F.lit(1).alias("k"), F.floor((F.col("shift") + n) / (2 * n)).alias("at")))
+    cover = sound.select(*of, "ipos", "n_windows", F.explode(near_by).alias("part")).groupBy(*of, "part").agg((F.countDistinct("ipos") / F.first("n_windows")).alias("coverage"))
+    cover = cover.groupBy(*of).agg(F.max("coverage").alias("coverage"))
     aligned = marked.select(*AT).distinct().join(torn, AT, "left_anti")
     runs = literal_runs(marked, n).groupBy(*of).agg(F.max("run").alias("run"))
     near = near_copies(aligned, words, texts).groupBy(*of).agg(F.max("near").alias("near"))
