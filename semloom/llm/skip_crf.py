@@ -224,9 +224,9 @@ def train(sample: list[tuple]) -> Field:
         p = counts / counts.sum()
         return np.clip(np.log(p) - np.log(p.sum(1))[:, None] - np.log(p.sum(0))[None, :], -3, 3)
 
-    agree = np.eye(k) * 4  # prior of the skip factor: similar tokens agree
+    agree = np.eye(k) * 10  # prior of the skip factor: similar tokens agree
     skip = ratio(3, 1.0)
-    return Field(w, ratio(2, 1.0), np.clip(skip + agree - agree.mean(), -4, 4))
+    return Field(w, ratio(2, 1.0), np.clip(skip + agree - agree.mean(), -8, 8))
 
 
 def added(text: str, base: list[tuple[int, int, str]], field: Field) -> list[tuple[int, int, str]]:
