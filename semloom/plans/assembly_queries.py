@@ -98,7 +98,7 @@ def audit_rows(spark, sf):
 
 def evidence_warnings(spark, sf):
     d = docs(spark, sf).withColumn("cluster", F.col("lang"))
-    terms = T.cluster_terms(d, lexicon.CLUSTER_STOP + STOP).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
+    terms = T.cluster_terms(d, [*lexicon.CLUSTER_STOP, *STOP]).groupBy("cluster").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("t"))
     e = d.groupBy("cluster").agg(F.count("*").alias("size")).join(terms, "cluster").withColumn("terms", F.transform("t", lambda s: s["term"]))
     return B.evidence_warnings(e, ["and", "der", "de", "en"], 50).select("cluster", F.array_join("noisy", ",").alias("noisy"), "small")
 

@@ -12,7 +12,7 @@ from semloom.plans.vector_queries import fix
 from semloom.sources.tables import table
 
 #: Common short words of the table's prose stand in for a lexicon of the subject's own.
-FORMS = {"first": "the and that", "second": "der die und", "third": "les des que", "fourth": "una los con"}
+FORMS = {"first": ("the", "and", "that"), "second": ("der", "die", "und"), "third": ("les", "des", "que"), "fourth": ("una", "los", "con")}
 STOP = ["the", "of", "and"]
 
 
@@ -68,7 +68,7 @@ def tone_tags(spark, sf):
 
 
 def sentiment(spark, sf):
-    return T.sentiment(docs(spark, sf), ["the", "der"], ["of", "und"])
+    return T.sentiment(docs(spark, sf), ("the", "der"), ("of", "und"))
 
 
 def tfidf_top_terms(spark, sf):
@@ -78,11 +78,16 @@ def tfidf_top_terms(spark, sf):
 
 def cluster_terms(spark, sf):
     d = docs(spark, sf).withColumn("cluster", F.col("lang"))
-    return T.cluster_terms(d, lexicon.CLUSTER_STOP + STOP).select("cluster", "term", fixed(F.col("weight")).alias("weight"), "rank")
+    return T.cluster_terms(d, [*lexicon.CLUSTER_STOP, *STOP]).select("cluster", "term", fixed(F.col("weight")).alias("weight"), "rank")
+
+
+def franchise_terms(spark, sf):
+    d = docs(spark, sf)
+    return d.groupBy("lang").agg(F.count_if(T.holds_any(F.col("text"))).alias("listed"), F.count_if(T.holds_any(F.col("text"), (*lexicon.FRANCHISE, "token", "licensed"))).alias("more"))
 
 
 def noise_diagnostics(spark, sf):
-    return T.noise_counts(docs(spark, sf), ["token", "mail", "full", "!!", "est"])
+    return T.noise_counts(docs(spark, sf), ("token", "mail", "full", "!!", "est"))
 
 
 NOISE_FREE = r"regexp_replace(regexp_replace(text, 'https?://\S+|www\.\S+', ' ', 'g'), '#\S+', ' ', 'g')"
@@ -117,12 +122,13 @@ QUERIES = {
  k as (select id, o from r qualify row_number() over (partition by id order by i desc) = 1),
  p as (select id, concat_ws(chr(10), case when coalesce(source, '') <> '' then 'Genres: ' || source end, case when coalesce(lang, '') <> '' then 'Keywords: ' || lang end, case when len(o) > 0 then 'Premise: ' || array_to_string(o, '; ') end) as profile from k join documents on id = doc_id)
  select id, md5(profile) as digest, {TOK.format(t='profile')} as tokens from p"""),
-    "tone_tags": (tone_tags, "with l(tone, w) as (values " + ", ".join(f"('{t}', '{w}')" for t, ws in FORMS.items() for w in ws.split()) + "), u as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]+')) as w from documents), s as (select id, tone, count(*) as score from u join l using (w) group by all) select id, tone, score, row_number() over (partition by id order by score desc, tone) as rank from s qualify rank <= 5"),
+    "tone_tags": (tone_tags, "with l(tone, w) as (values " + ", ".join(f"('{t}', '{w}')" for t, ws in FORMS.items() for w in ws) + "), u as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]+')) as w from documents), s as (select id, tone, count(*) as score from u join l using (w) group by all) select id, tone, score, row_number() over (partition by id order by score desc, tone) as rank from s qualify rank <= 5"),
     "sentiment": (sentiment, "with u as (select doc_id as id, unnest(regexp_extract_all(lower(text), '[a-z][a-z''-]+')) as w from documents), n as (select id, count(*) filter (w in ('the', 'der')) as good, count(*) filter (w in ('of', 'und')) as bad from u where w in ('the', 'der', 'of', 'und') group by 1) select *, case when good >= bad * 2 and good >= 2 then 'admiring' when bad >= good * 2 and bad >= 2 then 'critical' when good > 0 and bad > 0 then 'divided' end as verdict from n"),
+    "franchise_terms": (franchise_terms, "with d as (select lang, " + " or ".join(f"contains(lower(text), '{t}')" for t in lexicon.FRANCHISE) + " as hit, lower(text) as low from documents) select lang, count(*) filter (hit) as listed, count(*) filter (hit or contains(low, 'token') or contains(low, 'licensed')) as more from d group by 1"),
     "noise_diagnostics": (noise_diagnostics, "select term, count(*) as n from documents, (values ('token'), ('mail'), ('full'), ('!!'), ('est')) v(term) where contains(lower(text), term) group by 1"),
     "tfidf_top_terms": (tfidf_top_terms, "with " + GRAMS.format(c="", stop="'the', 'of', 'and'") + f""", v as (select term, sum(tf) as a, count(*) as df from tf group by 1 order by a desc, term limit 5000), x as (select id, term, tf * (ln((1 + (select count(*) from documents)) / (1 + df)) + 1) as x from tf join v using (term)), w as (select id, term, x / sqrt(sum(x * x) over (partition by id)) as weight from x)
  select id, term, {fix('weight')} as weight, row_number() over (partition by id order by floor(weight * 1e9 + 0.5) desc, term) as rank from w qualify rank <= 6"""),
-    "cluster_terms": (cluster_terms, "with " + GRAMS.format(c="cluster,", stop=", ".join(f"'{w}'" for w in lexicon.CLUSTER_STOP + STOP)) + f""", v as (select cluster, term, df from (select cluster, term, count(*) as df, sum(tf) as a from tf group by cluster, term) qualify row_number() over (partition by cluster order by a desc, term) <= 3000), n as (select lang as cluster, count(*) as n from documents group by 1),
+    "cluster_terms": (cluster_terms, "with " + GRAMS.format(c="cluster,", stop=", ".join(f"'{w}'" for w in [*lexicon.CLUSTER_STOP, *STOP])) + f""", v as (select cluster, term, df from (select cluster, term, count(*) as df, sum(tf) as a from tf group by cluster, term) qualify row_number() over (partition by cluster order by a desc, term) <= 3000), n as (select lang as cluster, count(*) as n from documents group by 1),
  x as (select id, cluster, term, n, tf * (ln((1 + n) / (1 + df)) + 1) as x from tf join v using (cluster, term) join n using (cluster)), u as (select cluster, term, n, x / sqrt(sum(x * x) over (partition by id)) as u from x), m as (select cluster, term, sum(u) / n as weight from u group by cluster, term, n)
  select cluster, term, {fix('weight')} as weight, row_number() over (partition by cluster order by floor(weight * 1e9 + 0.5) desc, term) as rank from m qualify rank <= 15"""),
 }
