@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from zlib import crc32
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from semloom.llm import (
     fertility_rules,
     fuzzy_lines,
     ngram_svm,
+    periodic_runs,
     ring_sharding,
     simhash_neardup,
     skip_crf,
@@ -82,6 +85,21 @@ def op10_gray_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_neardup.near_duplicates(documents(spark, sf_dir))
 
 
+def repeated_tail(doc_id: int | None, words: list) -> list:
+    """The words of a tenth of the documents end in a passage that repeats 3 to 11 times; a null doc_id changes nothing."""
+    h = 1 if doc_id is None else crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g, n = h // 10, len(words)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + [words[a + i % p] for i in range(n - a)]
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.periodic_runs(documents(spark, sf_dir), repeated_tail)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 

@@ -44,4 +44,4 @@ def test_rows_of_null_or_one_id_are_judged_each_by_itself(spark, sf):
 
 def test_registered_queries():
     names = queries.queries()
-    assert [n for i in range(1, 11) for n in names if n.startswith(f"op{i}_")] == sorted(names, key=lambda n: int(n[2:].split("_")[0]))
+    assert [n for i in range(1, 14) for n in names if n.startswith(f"op{i}_")] == sorted(names, key=lambda n: int(n[2:].split("_")[0]))
