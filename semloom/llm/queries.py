@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from semloom.llm import (
     fertility_rules,
     fuzzy_lines,
+    lattice_lm,
     ngram_svm,
     periodic_runs,
     ring_sharding,
@@ -100,6 +101,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.periodic_runs(documents(spark, sf_dir), repeated_tail)
 
 
+def op12_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lattice_lm.score_texts(documents(spark, sf_dir), bucket(10) == 0)
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
