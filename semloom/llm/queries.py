@@ -19,6 +19,7 @@ from semloom.llm import (
     soft_mixing,
     string_kernel,
     template_decontam,
+    token_links,
     token_orc,
 )
 from semloom.llm.common import documents
@@ -105,6 +106,10 @@ def op12_lattice_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lattice_lm.score_texts(documents(spark, sf_dir), bucket(10) == 0)
 
 
+def op13_token_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_links.links(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
