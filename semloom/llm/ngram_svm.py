@@ -102,23 +102,30 @@ class Indicators:
 _INDICATORS = Indicators()
 
 
-def sample_indicators(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
-    """(ids, labels) of at most `rows` rows of labelled (doc_id, label int)."""
+def sample_rows(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """(ids, labels, numbers of words) of at most `rows` rows of labelled (doc_id, label int)."""
     small_batches(docs.sparkSession)
     chosen = labelled.where("label is not null").select("doc_id", "label")
 
     def work(batches):
         for pdf in batches:
-            yield pd.DataFrame({"label": pdf["label"], "ids": [_INDICATORS.of(t).tobytes() for t in pdf["text"]]})
+            words = [words_of(t) for t in pdf["text"]]
+            ids = [_INDICATORS.of_words(w).astype(np.int32).tobytes() for w in words]
+            yield pd.DataFrame({"label": pdf["label"], "ids": ids, "words": [len(w) for w in words]})
 
     got = (
         sample_texts(docs, chosen, rows)
         .select("label", "text")
-        .mapInPandas(work, "label int, ids binary")
+        .mapInPandas(work, "label int, ids binary, words long")
         .collect()
     )
     got = sorted(got, key=lambda r: (r["label"], bytes(r["ids"])))
-    return [np.frombuffer(r["ids"], np.int32) for r in got], np.array([r["label"] for r in got], np.int64)
+    return [np.frombuffer(r["ids"], np.int32) for r in got], *(np.array([r[c] for r in got], np.int64) for c in ("label", "words"))
+
+
+def sample_indicators(docs: DataFrame, labelled: DataFrame, rows: int = SAMPLE) -> tuple[list[np.ndarray], np.ndarray]:
+    """(ids, labels) of sample_rows."""
+    return sample_rows(docs, labelled, rows)[:2]
 
 
 def log_ratio(ids: list[np.ndarray], y: np.ndarray) -> np.ndarray:
@@ -166,7 +173,9 @@ class Model:
         self.offsets = np.array([b for _, b in fitted])
 
     def margins(self, words: list[bytes]) -> np.ndarray:
-        ids = _INDICATORS.of_words(words)
+        return self.margins_of(_INDICATORS.of_words(words))
+
+    def margins_of(self, ids: np.ndarray) -> np.ndarray:
         if not len(ids):
             return self.offsets
         sums = np.ones(len(ids), np.float32) @ np.take(self.table, ids, axis=0, mode="clip")
