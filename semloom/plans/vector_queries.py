@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from semloom.functions.vectors import doubles, fixed, unit
 from semloom.functions.vectors import norm as length
 from semloom.operators import clusters as C
+from semloom.operators import ivf as IVF
 from semloom.operators import neighbors as N
 from semloom.sources.tables import layers, table, vectors
 
@@ -27,6 +28,19 @@ def knn_cosine_top10(spark, sf):
     return N.nearest(vectors(spark, sf), 10).select("src", "nbr", fixed(F.col("sim")).alias("sim"), F.col("rank").cast("long").alias("rank"))
 
 
+def ivf_neighbors(spark, sf):
+    v = vectors(spark, sf).select("id", "embedding")
+    index = IVF.build(v)
+    found = IVF.search(index, v, 10, IVF.tuned_probes(index, 10))
+    return found.select("src", "nbr", fixed(F.col("sim")).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
+def ivf_exact_neighbors(spark, sf):
+    v = vectors(spark, sf).select("id", "embedding")
+    found = IVF.search(IVF.build(v), v, 10, exact=True)
+    return found.select("src", "nbr", fixed(F.col("sim")).alias("sim"), F.col("rank").cast("long").alias("rank"))
+
+
 def l2_normalize(spark, sf):
     v = vectors(spark, sf).select("id", doubles("embedding").alias("e"))
     return v.select("id", fixed(length(F.col("e"))).alias("length"), F.posexplode(unit(F.col("e"))).alias("pos", "x")).select(
@@ -144,6 +158,8 @@ COH = ", c as (select a.cluster, avg(list_cosine_similarity(a.e, b.e)) as cohere
 
 QUERIES = {
     "knn_cosine_top10": (knn_cosine_top10, KNN.format(k=10) + f" select src, nbr, {fix('sim')} as sim, rank::bigint as rank from knn"),
+    "ivf_neighbors": (ivf_neighbors, None),
+    "ivf_exact_neighbors": (ivf_exact_neighbors, KNN.format(k=10) + f" select src, nbr, {fix('sim')} as sim, rank::bigint as rank from knn"),
     "l2_normalize": (l2_normalize, U + f" select id, {fix('sqrt(list_inner_product(e, e))')} as length, (pos - 1)::bigint as pos, {fix('x')} as x from (select u.id, e, unnest(u) as x, generate_subscripts(u, 1) as pos from u join v on u.id = v.id)"),
     "cluster_centroid": (cluster_centroid, V + f" select cluster, (pos - 1)::bigint as pos, {fix('avg(x)')} as value from (select cluster, unnest(e) as x, generate_subscripts(e, 1) as pos from v) group by cluster, pos"),
     "cluster_coherence": (cluster_coherence, V + COH + f" select n.cluster, n, {fix('coherence')} as coherence from (select cluster, count(*) as n from v group by 1) n left join c on n.cluster = c.cluster"),
