@@ -5,23 +5,29 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a table is broadcast; beyond, Spark shuffles.
 SMALL = 200_000
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """df as a Parquet table below spark.checkpoint.dir (a temporary folder only where none is set, as in tests): what reads it twice computes it once, and a lost executor rereads it."""
-    spark = df.sparkSession
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from spark.checkpoint.dir. Where none is set, a temporary one if all runs in this process, else an error: executors don't see the driver's own."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = tempfile.mkdtemp(prefix="spark-")
         spark.sparkContext.setCheckpointDir(at)
-    path = f"{at.rstrip('/')}/kept-{uuid.uuid4().hex}"
+    return at.rstrip("/")
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as a Parquet table below spark.checkpoint.dir: what reads it twice computes it once, and a lost executor rereads it."""
+    path = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def few(df: DataFrame, rows: int = SMALL) -> DataFrame:
