@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import lru_cache
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -105,3 +108,24 @@ def split_title_year(c) -> Column:
     return F.when(
         c.rlike(form), F.struct(F.regexp_extract(c, form, 1).alias("title"), F.regexp_extract(c, form, 2).cast("int").alias("year"))
     ).otherwise(F.struct(c.alias("title"), F.lit(None).cast("int").alias("year")))
+
+
+@lru_cache(maxsize=1)
+def accented() -> tuple[str, str]:
+    """Letters that decompose to one letter and marks, and those letters, by Unicode's rule (Basic Multilingual Plane, without Hangul)."""
+    pairs = []
+    for i in [*range(0xC0, 0xAC00), *range(0xF900, 0xFB50)]:
+        bare = [x for x in unicodedata.normalize("NFD", chr(i)) if not "\u0300" <= x <= "\u036f"]
+        if len(bare) == 1 and bare[0] != chr(i):
+            pairs.append((chr(i), bare[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(c) -> Column:
+    """Lower case without accents: letters with marks become the letters, and marks of their own go."""
+    return F.regexp_replace(F.translate(F.lower(c), *accented()), "[\u0300-\u036f]", "")
+
+
+def folded_literal(x: str) -> str:
+    """What folded gives for a string."""
+    return "".join(a for a in unicodedata.normalize("NFD", x.lower()) if not "\u0300" <= a <= "\u036f")

@@ -149,6 +149,12 @@ def search_rank(spark, sf):
     return B.search(p, "br", 8).select("id", "title", fixed(F.col("score")).alias("score"))
 
 
+def accent_search(spark, sf):
+    """The best twenty documents for a query with accents and capitals, by their first line, language and whole text."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("source").alias("original_title"), F.col("lang").alias("year"), F.col("text").alias("everything"))
+    return B.folded_search(d, "CÍON", 20).select("id", "title", fixed(F.col("score")).alias("score"))
+
+
 def level_of_detail(spark, sf):
     p = table(spark, sf, "part").groupBy(B.layer_of_zoom(F.col("p_size") / 5).alias("layer")).agg(F.count("*").alias("n"))
     return p
@@ -230,6 +236,9 @@ QUERIES = {
      + f", e as (select case when c.cluster < 5 then 'low' else 'high' end as layer, c.cluster, coherence, share from c join s on c.cluster = s.cluster) select layer, cluster, {fix('coherence')} as coherence, {fix('share')} as share, row_number() over (partition by layer order by coalesce(coherence, 0), share, cluster) as rank from e where coherence < 0.57 or share < 0.35 qualify rank <= 4"),
     "normalize_results": (normalize_results, "with e as (select user_id * 3 as id, event_id as ord, case upper(event_type) when 'CLICK' then 'fail' when 'VIEW' then 'pass' else lower(event_type) end as verdict, floor(value / 20)::int as severity from events), f as (select * from e where id in (select c_custkey from customer) qualify row_number() over (partition by id order by ord) = 1) select id, case when verdict in ('pass', 'mixed', 'fail') then verdict else 'mixed' end as verdict, greatest(0, least(3, coalesce(severity, 0))) as severity from f"),
     "search_rank": (search_rank, f"with p as (select p_partkey as id, lower(p_name) as t, p_name as title, p_size::varchar as y, lower(p_name || ' ' || p_brand || ' ' || p_type) as e from part), s as (select id, title, case when t = 'br' then 0.0 when starts_with(t, 'br') then 1.0 when instr(t, 'br') > 0 then 2 + (instr(t, 'br') - 1)::double / 100 when starts_with(y, 'br') then 3.0 when instr(e, 'br') > 0 then 4 + (instr(e, 'br') - 1)::double / 1000 end::double as score from p) select id, title, {fix('score')} as score from s where score is not null order by s.score, id limit 8"),
+    "accent_search": (accent_search, f"""with p as (select doc_id as id, split_part(text, chr(10), 1) as title, strip_accents(lower(split_part(text, chr(10), 1))) as t, strip_accents(lower(source)) as o, lang as y, strip_accents(lower(text)) as e from documents),
+ s as (select id, title, case when t = 'cion' or o = 'cion' then 0.0 when starts_with(t, 'cion') or starts_with(o, 'cion') then 1.0 when instr(t, 'cion') > 0 then 2 + (instr(t, 'cion') - 1)::double / 100 when starts_with(y, 'cion') then 3.0 when instr(e, 'cion') > 0 then 4 + (instr(e, 'cion') - 1)::double / 1000 end::double as score from p)
+ select id, title, {fix('score')} as score from s where score is not null order by s.score, id limit 20"""),
     "level_of_detail": (level_of_detail, "select case when p_size / 5 < 3.15 then 'macro' when p_size / 5 < 7.1 then 'neighborhood' else 'micro' end as layer, count(*) as n from part group by 1"),
     "point_bounds": (point_bounds, f"with {PTS} select cluster, count(*) as n, {fix('min(x)')} as x0, {fix('max(x)')} as x1, {fix('min(y)')} as y0, {fix('max(y)')} as y1, {fix('avg(x)')} as cx, {fix('avg(y)')} as cy from p group by 1"),
     "scaled_radii": (scaled_radii, f"with {PTS}, n as (select cluster, count(*) as n from p group by 1) select cluster, n, {fix('greatest(0.05, sqrt(n) * sqrt(0.6 / sum(n) over ()))')} as r from n"),

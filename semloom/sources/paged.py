@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, In, InputPartition, IsNotNull, LessThan, LessThanOrEqual
 from pyspark.sql.types import DateType, StructType, TimestampType
 
+from semloom.sources.files import Files
+
 #: Statuses that are tried again.
 AGAIN = frozenset({429, 500, 502, 503, 504})
 ATTEMPTS = 4
@@ -56,16 +58,11 @@ class FilePages:
     """Pages as files page-000001.json .. of {"total_pages", "results"}, details as files details/ID.json; the filters are applied as the service would."""
 
     def __init__(self, path: str):
-        from pyarrow import fs
-
-        self.files, self.path = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
+        self.files = Files(path)
 
     def read(self, name: str):
-        try:
-            with self.files.open_input_stream(f"{self.path}/{name}") as f:
-                return json.loads(f.read())
-        except FileNotFoundError:
-            return None
+        found = self.files.read(name)
+        return None if found is None else json.loads(found)
 
     def total(self, params: list) -> int:
         first = self.read("page-000001.json")
@@ -188,13 +185,10 @@ def write_pages(rows: DataFrame, page: str, path: str) -> None:
     total = rows.agg(F.max(page)).first()[0] or 0
 
     def work(batches):
-        from pyarrow import fs
-
-        files, at = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
-        files.create_dir(at, recursive=True)
+        files = Files(path)
         for pdf in batches:
             for number, records in zip(pdf["page"], pdf["records"]):
-                with files.open_output_stream(f"{at}/page-{number:06d}.json") as f:
+                with files.writing(f"page-{number:06d}.json") as f:
                     f.write(b'{"page": %d, "total_pages": %d, "results": [%s]}' % (number, total, ",".join(records).encode()))
             yield pdf[["page"]]
 

@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import zipfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from semloom.functions.text import clean_or_null
+from semloom.sources.zipped import read_zipped
 
 NAMED = "array<struct<name:string>>"
 #: A nested detail record; fields that a payload lacks are null.
@@ -58,17 +57,6 @@ def eligible(details: DataFrame, since: int, today: str, runtime: int, votes: in
     )
 
 
-def unzip_members(path: str, suffixes: list[str], into: str) -> dict[str, str]:
-    """Local copies of a zip file's members by suffix (a zip can't be split, so it is unpacked once); absent ones are left out."""
-    out = {}
-    with zipfile.ZipFile(path) as z:
-        for name in z.namelist():
-            for s in suffixes:
-                if name.endswith(s):
-                    out[s] = z.extract(name, into)
-    return out
-
-
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A CSV file with a header and quoted fields that may span lines."""
     return spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').csv(path)
@@ -86,6 +74,14 @@ def tag_signals(entities: DataFrame, links: DataFrame, scores: DataFrame, tags:
     return named.select(F.col("tmdbId").alias("id"), F.transform("t", lambda s: s["tag"]).alias("tags"))
 
 
+def zipped_signals(spark: SparkSession, entities: DataFrame, path: str, least: float = 0.32, top: int = 24) -> DataFrame:
+    """tag_signals of a zip file's members links.csv, genome-tags.csv and genome-scores.csv, read by the executors; a missing member gives no signals."""
+    links = read_zipped(spark, path, "links.csv", "movieId long, tmdbId long")
+    tags = read_zipped(spark, path, "genome-tags.csv", "tagId long, tag string").select("tagId", clean_or_null(F.col("tag")).alias("tag")).where("tag is not null")
+    scores = read_zipped(spark, path, "genome-scores.csv", "movieId long, tagId long, relevance double")
+    return tag_signals(entities, links, scores, tags, least, top)
+
+
 def enrich(entities: DataFrame, signals: DataFrame, synopses: DataFrame) -> DataFrame:
     """entities (id, imdb_id, ...) with tags (empty if none), plot_tags and synopsis; of repeated imdb_ids the last by ord wins."""
     last = synopses.where("imdb_id <> ''").groupBy("imdb_id").agg(F.max_by(F.struct("plot_tags", "synopsis"), "ord").alias("s"))
