@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, with DataFrame functions alone.
 
-White space counts as single spaces. Numbers, names (words inside a sentence with a capital and then a small letter) and units after numbers become typed
+White space counts as single spaces. Numbers, names (words inside a sentence with a capital and then a small letter, several in a row as one) and units after numbers become typed
 placeholders; all else counts in lower case, so words all in capitals do too; windows of WINDOW template words of every document meet those of the benchmark items in a
 hash join. Windows with fewer than LITERALS plain words don't count. Then slots are held side by side: in
 one alignment of a document with an item, equal slot values of the item must stand for equal
@@ -43,7 +43,8 @@ def valued(text):
     s = F.regexp_replace(text, f" *[{NUMBER}-{UNIT}\\t-\\r\\x85\\xa0\\u2028\\u2029][{NUMBER}-{UNIT}\\t-\\r\\x85\\xa0\\u2028\\u2029 ]*| {{2,}}", " ")
     s = F.regexp_replace(s, r"[0-9]+", f" {NUMBER}$0 ")
     s = F.regexp_replace(s, r" (?<=[\p{L},;:] )(?=\p{Lu}\p{Ll})", f" {NAME}")
-    s = F.regexp_replace(F.lower(s), f"({NUMBER}[0-9]+ {{1,3}})(?=(?:{UNITS})(?![\\p{{L}}]))", f"$1{UNIT}")
+    s = F.regexp_replace(F.lower(s), rf"(?<={NAME}[\p{{L}}'’-]{{1,40}}) {NAME}", "")  # names that follow each other are one
+    s = F.regexp_replace(s, f"({NUMBER}[0-9]+ {{1,3}})(?=(?:{UNITS})(?![\\p{{L}}]))", f"$1{UNIT}")
     words = F.split(F.regexp_replace(s, rf"[^\p{{L}}\p{{N}} {NUMBER}-{UNIT}]+", " "), " ")
     return F.filter(words, lambda w: w != "")
 
