@@ -11,6 +11,7 @@ from semloom.operators.staging import shared_dir
 from semloom.plans.vector_queries import fix
 from semloom.sources import paged as P
 from semloom.sources import records as R
+from semloom.sources import tiles as T
 from semloom.sources.tables import table
 
 
@@ -93,6 +94,14 @@ def record_enrich(spark, sf):
     return out.select("id", "imdb_id", "title", F.array_join("tags", "|").alias("tags"), F.array_join("plot_tags", "|").alias("plot_tags"), "synopsis")
 
 
+def viewport_points(spark, sf):
+    """Orders as points of a map (customer, price) in tiles of a thousand, and those of one view."""
+    path = f"{shared_dir(spark)}/tiles-{uuid.uuid4().hex}"
+    points = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").cast("double").alias("x"), F.col("o_totalprice").alias("y"))
+    T.write_tiles(points, path, target=1000)
+    return T.viewport(spark, path, 40.0, 90000.0, 110.0, 250000.0).select("id", "x", fixed(F.col("y"), 2).alias("y"))
+
+
 DETAILS = f"""with ls as (select l_orderkey as id, list({{{{'q': l_quantity, 'd': l_discount, 'f': l_returnflag, 's': l_linestatus, 'pk': l_partkey, 'sk': l_suppkey, 'n': p_name, 'b': p_brand, 't': p_type}}}} order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_discount) as ls from lineitem join part on l_partkey = p_partkey group by 1),
  d as (select o_orderkey as id, case when o_orderkey % 3 <> 0 then 'tt' || o_orderkey when o_orderkey % 2 = 0 then 'ex ' || o_orderkey end as imdb_id, case when o_orderkey % 11 <> 0 then 'Order ' || o_orderkey else '' end as title, o_orderpriority as original_title,
  case when o_orderkey % 7 = 0 then '' else strftime(o_orderdate, '%Y-%m-%d') end as release_date, case when o_orderkey % 7 <> 0 then year(o_orderdate)::int end as year, (o_custkey % 200)::int as runtime, case when o_orderkey % 5 <> 0 then o_orderpriority || ' of ' || o_orderstatus end as overview,
@@ -105,6 +114,7 @@ SERVED = """with o as (select o_orderkey // 2000 + 1 as page, o_orderkey, o_cust
  s as (select * from o union all select page + 1, o_orderkey, o_custkey, price * 2, day from o where o_orderkey % 97 = 0)"""
 
 QUERIES = {
+    "viewport_points": (viewport_points, f"select o_orderkey as id, o_custkey::double as x, {fix('o_totalprice', 2)} as y from orders where o_custkey between 40 and 110 and o_totalprice between 90000 and 250000"),
     "record_normalize": (record_normalize, DETAILS + f""" select id, imdb_id, title, original_title, release_date, year, runtime, overview, array_to_string([x.b for x in ls if x.q >= 5], '|') as genres, array_to_string([x.n for x in ls], '|') as keywords, {fix('vote_average')} as vote_average, vote_count, {fix('popularity')} as popularity,
  array_to_string([left(trim(repeat(x.t || ' ', 60)), 500) for x in ls if x.d > 0.05], '|') as reviews, original_language, array_to_string([x.s for x in ls], '|') as production_countries, '' as production_companies, array_to_string(['P' || x.pk for x in ls[1:10]], '|') as cast, array_to_string(['S' || x.sk for x in ls if x.f = 'R'], '|') as directors,
  null::varchar as poster_path, '/b' || id as backdrop_path from d"""),
