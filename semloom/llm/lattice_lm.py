@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semloom.llm.common import small_batches, text_of, written
-from semloom.llm.packs import beside_facts, by_group, packed, pieces_of, unpacked
+from semloom.llm.packs import beside_facts, bucketed, by_group, packed, pieces_of, unpacked
 from semloom.llm.token_cache import WordTable
 
 VOCABULARY = "piece_bpe_32k.model"
@@ -35,6 +35,7 @@ BEGIN = 10  # added to a rank before it is turned into a weight
 PSEUDO = 1.0  # pseudo-counts for each piece, on average
 SMOOTH = 0.1  # fixed value: of the base model
 AT_ONCE = 1 << 16  # bytes of stretches in one recursion
+SHORT = 20  # bytes up to which stretches of one length are worked on as rows of a table
 UNKNOWN_SCORE = -1e8  # pieces scored below it have no rank
 
 
@@ -54,6 +55,12 @@ def vocabulary(model_file: str) -> tuple[list[bytes], np.ndarray]:
     return pieces, np.log(weight / weight.sum())
 
 
+def log_sum(terms: list[np.ndarray]) -> np.ndarray:
+    """Log of the sum of exp of the terms, of which one at least is finite."""
+    top = terms[0] if len(terms) == 1 else np.maximum.reduce(terms)
+    return top + np.log(sum(np.exp(t - top) for t in terms)) if len(terms) > 1 else top
+
+
 class Lattice:
     """Forward and backward recursion over many byte strings at once."""
 
@@ -65,10 +72,10 @@ class Lattice:
             for byte in piece:
                 node = nodes.setdefault((node, byte), len(nodes) + 1)
             ends[i] = node
-        self.next = np.zeros((len(nodes) + 1, 256), np.int32)
+        self.next = np.zeros((len(nodes) + 2, 256), np.int32)  # node 0 is the root, and no node; the last has no way on
         keys = np.array(list(nodes), np.int64).reshape(-1, 2)
         self.next[keys[:, 0], keys[:, 1]] = np.fromiter(nodes.values(), np.int32, len(nodes))
-        self.piece = np.full(len(nodes) + 1, -1, np.int32)
+        self.piece = np.full(len(nodes) + 2, -1, np.int32)
         self.piece[ends] = np.arange(len(pieces))
         self.logs = np.asarray(logs, np.float64)
 
@@ -92,14 +99,43 @@ class Lattice:
         """Natural log of each text's sum over all paths and, if counts are given, the pieces' expected counts, a text counting so many times."""
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         out, expected = np.zeros(len(texts)), None if counts is None else np.zeros(len(self.logs))
+        for size in range(1, SHORT + 1):
+            same = np.flatnonzero(sizes == size)
+            for part in np.split(same, range(AT_ONCE // size, len(same), AT_ONCE // size)):
+                if len(part):
+                    self._table(b"".join([texts[i] for i in part]), size, part, out, counts, expected)
         order = np.argsort(sizes, kind="stable")
-        order = order[sizes[order] > 0]
+        order = order[sizes[order] > SHORT]
         cut = np.flatnonzero(np.diff(np.cumsum(sizes[order]) // AT_ONCE)) + 1
         for part in np.split(order, cut):
             if len(part):
                 self._run(b"".join([texts[i] for i in part]), sizes[part], part, out, counts, expected)
         return out, expected
 
+    def _table(self, flat, size, part, out, counts, expected):
+        """The recursion for texts of one size: depth by depth the pieces of all places, then place by place all sums."""
+        letters = np.ascontiguousarray(np.frombuffer(flat, np.uint8).reshape(-1, size).T)
+        node, weights, pieces = np.zeros(letters.shape, np.int32), [], []
+        for depth in range(size):
+            node = self.next[node[: size - depth], letters[depth:]]
+            if not node.any():
+                break
+            pieces.append(self.piece[node])
+            weights.append(np.where(pieces[-1] >= 0, self.logs[pieces[-1]], -np.inf))
+            node[node == 0] = len(self.piece) - 1  # a path that has ended stays at its end
+        alpha = np.zeros((size + 1, len(part)))
+        for end in range(1, size + 1):
+            alpha[end] = log_sum([alpha[end - d - 1] + w[end - d - 1] for d, w in enumerate(weights[:end])])
+        out[part] = alpha[size]
+        if counts is not None:
+            beta = np.zeros((size + 1, len(part)))
+            for start in range(size - 1, -1, -1):
+                beta[start] = log_sum([beta[start + d + 1] + w[start] for d, w in enumerate(weights[: size - start])])
+            for d, (piece, w) in enumerate(zip(pieces, weights)):
+                there = np.nonzero(piece >= 0)
+                share = np.exp(alpha[: len(w)][there] + w[there] + beta[d + 1 :][there] - alpha[size][there[1]]) * counts[part][there[1]]
+                expected += np.bincount(piece[there], weights=share, minlength=len(expected))
+
     def _run(self, flat, sizes, part, out, counts, expected):
         flat = np.frombuffer(flat, np.uint8)
         last = np.cumsum(sizes)
@@ -193,12 +229,25 @@ def words_of(stretch):
     return F.filter(F.split(low, "[\\x20\\x09-\\x0D]+"), lambda w: w != "")
 
 
+def joined(batches, rows: int = 40_000):
+    """Tables of about so many rows from small batches: the recursion works on many stretches at once."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += len(batch)
+        if n >= rows:
+            yield pa.Table.from_batches(held)
+            held, n = [], 0
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def expected_counts(table: DataFrame, sent: Sent, size: int) -> np.ndarray:
     """Expected counts of the pieces over a table (stretch, n)."""
 
     def work(batches):
         sums = np.zeros(size)
-        for batch in batches:
+        for batch in joined(batches):
             texts = batch.column("stretch").cast(pa.binary()).to_pylist()
             sums += lattice(sent).run(texts, batch.column("n").to_numpy().astype(np.float64))[1]
         at = np.flatnonzero(sums)
@@ -221,9 +270,9 @@ def scored(table: DataFrame, sent: Sent) -> DataFrame:
     """(stretch, log10p) of a table (stretch)."""
 
     def work(batches):
-        for batch in batches:
+        for batch in joined(batches):
             texts = batch.column("stretch").cast(pa.binary()).to_pylist()
-            yield batch.append_column("log10p", pa.array(lattice(sent).run(texts)[0] / math.log(10)))
+            yield from batch.append_column("log10p", pa.array(lattice(sent).run(texts)[0] / math.log(10))).to_batches()
 
     return table.mapInArrow(work, "stretch string, log10p double")
 
@@ -239,8 +288,8 @@ def score_texts(docs: DataFrame, held_out, model_file: str | None = None, rounds
     rows = docs.select("doc_id", text_of().alias("text"), (~held_out).alias("train"))
     packs = packed(rows, "packs")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    seen = written(stretches(packs), "stretches")
-    table = written(seen.repartition(parts, "stretch").groupBy("stretch").agg(F.sum("n").alias("n")), "table")
+    seen = bucketed(stretches(packs), "stretch", parts)
+    table = written(seen.groupBy("stretch").agg(F.sum("n").alias("n")), "table")
     learnt = table.where("n > 0")
 
     words = written(learnt.select(F.explode(words_of("stretch")).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("c")), "words")
@@ -268,6 +317,7 @@ def score_texts(docs: DataFrame, held_out, model_file: str | None = None, rounds
         now = None
         for gid, facts, packs in by_group(batches, ["stretch", *names]):
             if gid != now:
+                table = values = None  # one group's at a time
                 table = dict(zip(facts["stretch"].cast(pa.binary()).to_pylist(), range(len(facts)))) if facts is not None else {}
                 values = np.stack([facts[c].to_numpy() for c in names], 1).astype(np.float64) if facts is not None else np.zeros((0, 4))
                 now = gid
