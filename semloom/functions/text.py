@@ -129,3 +129,28 @@ def folded(c) -> Column:
 def folded_literal(x: str) -> str:
     """What folded gives for a string."""
     return "".join(a for a in unicodedata.normalize("NFD", x.lower()) if not "\u0300" <= a <= "\u036f")
+
+
+def fnv1a(c) -> Column:
+    """32-bit FNV-1a hash of the text's UTF-16 units."""
+    units = F.transform(F.regexp_extract_all(F.hex(F.encode(c, "UTF-16BE")), F.lit("(.{4})"), F.lit(1)), lambda u: F.conv(u, 16, 10).cast("long"))
+    return F.aggregate(units, F.lit(2166136261).cast("long"), lambda h, u: (h.bitwiseXOR(u) * 16777619).bitwiseAND(F.lit((1 << 32) - 1)))
+
+
+def year_text(year, date) -> Column:
+    """The year, else the first four letters of the date, else 'Unknown year'."""
+    return F.coalesce(year.cast("string"), F.nullif(F.substring(date, 1, 4), F.lit("")), F.lit("Unknown year"))
+
+
+def runtime_text(minutes) -> Column:
+    """'45 min', '2h 5m'; empty for none."""
+    m = F.coalesce(minutes, F.lit(0)).cast("long")
+    return F.when(m == 0, "").when(m < 60, F.concat(m, F.lit(" min"))).otherwise(F.concat(F.floor(m / 60), F.lit("h "), m % 60, F.lit("m")))
+
+
+def wrapped(c, width: int) -> Column:
+    """Lines of at most `width` letters, cut between words; a longer word has a line of its own."""
+    words = F.split(clean(c), " ")
+    room = lambda text, w: F.length(F.substring_index(text, "\n", -1)) + 1 + F.length(w) <= width
+    joined = F.aggregate(words, F.lit(""), lambda text, w: F.when(text == "", w).when(room(text, w), F.concat(text, F.lit(" "), w)).otherwise(F.concat(text, F.lit("\n"), w)))
+    return F.split(joined, "\n")

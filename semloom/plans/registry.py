@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from semloom.plans import assembly_queries, audit_queries, iterative_queries, record_queries, relational_queries, text_queries, vector_queries
+from semloom.plans import assembly_queries, audit_queries, iterative_queries, labelling_queries, record_queries, relational_queries, text_queries, vector_queries
 
-MODULES = (vector_queries, text_queries, relational_queries, audit_queries, assembly_queries, iterative_queries, record_queries)
+MODULES = (vector_queries, text_queries, relational_queries, audit_queries, assembly_queries, iterative_queries, record_queries, labelling_queries)
 
 
 def _all() -> dict:
