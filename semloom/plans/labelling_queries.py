@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from semloom.functions import text as X
 from semloom.functions.vectors import fixed
+from semloom.operators import comparison as M
 from semloom.operators import labelling as L
 from semloom.operators import neighbors as N
 from semloom.plans.vector_queries import KNN, fix
-from semloom.sources.tables import table, vectors
+from semloom.sources.tables import layers, table, vectors
 
 
 def label_context(spark, sf):
@@ -51,6 +52,15 @@ def pattern_summary(spark, sf):
     return L.pattern_summary(_patterns(spark, sf))
 
 
+def selection_full(spark, sf):
+    """The selection score with neighbour patterns, tiny clusters and a measured mismatch, its parts beside it."""
+    lay = layers(spark, sf)
+    v = vectors(spark, sf).select("id", "embedding")
+    row = M.selection(v, lay, N.nearest(v, 7), _patterns(spark, sf), 0.25)
+    names = ("macro", "neighborhood", "micro", "coherence", "penalty", "score")
+    return row.select(*[fixed(F.col(c)).alias(c) for c in names], "good", "bad", "tiny")
+
+
 def variant_notes(spark, sf):
     """Languages as variants: confidence from labels, coherence from lengths, noise from marks."""
     d = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left")
@@ -80,6 +90,12 @@ QUERIES = {
     "region_labels": (region_labels, f"with r as (select c_nationkey as cluster, avg(c_custkey) as x, avg(c_acctbal) as y, count(*) * case when c_nationkey % 2 = 0 then 2 else 1 end as n from customer group by c_nationkey) select n_nationkey as cluster, n_name as label, {fix('x', 3)} as x, {fix('y', 2)} as y, n::bigint as n, row_number() over (order by n desc, n_nationkey) as rank from nation join r on n_nationkey = cluster where n_nationkey % 4 <> 3"),
     "neighbor_patterns": (neighbor_patterns, PATTERNS + " select * from h"),
     "pattern_summary": (pattern_summary, PATTERNS + " select count(distinct title) as requested, count(distinct title) filter (present) as present, count(*) filter (hit and not good) as bad_hits, count(*) filter (hit and good) as good_hits from h"),
+    "selection_full": (selection_full, PATTERNS + f""", l as (select vec_id as id, floor(label / 4)::int as macro, floor(label / 2)::int as neighborhood, label as micro from embeddings),
+ r as (select avg((a.macro = b.macro)::int) as macro, avg((a.neighborhood = b.neighborhood)::int) as neighborhood, avg((a.micro = b.micro)::int) as micro from knn join l a on src = a.id join l b on nbr = b.id),
+ w as (select v.id, e, unnest(['a' || macro, 'b' || neighborhood, 'c' || micro]) as c from v join l on v.id = l.id), n as (select c, count(*) as n from w group by 1), co as (select avg(x) as coherence from (select a.c, avg(list_cosine_similarity(a.e, b.e)) as x from w a join w b on a.c = b.c and a.id < b.id group by 1)),
+ z as (select count(*) as n from l group by macro), y as (select avg(n) as a, max(n) as hi, min(n) as lo from z), pe as (select greatest(0, hi / a - 1.8) * 12 + greatest(0, 0.45 - lo / a) * 28 + (select count(*) from z, y where n < a * 0.25) * 2.5 as penalty from y),
+ x as (select *, (select count(*) from h where hit and good) as good, (select count(*) from h where hit and not good) as bad, (select count(*) from n where n < 5) as tiny from r, co, pe)
+ select {fix('macro')} as macro, {fix('neighborhood')} as neighborhood, {fix('micro')} as micro, {fix('coherence')} as coherence, {fix('penalty')} as penalty, {fix('macro * 6 + neighborhood * 20 + micro * 24 + coherence * 22 + good * 0.7::double - 0.25::double * 55 - bad * 3 - tiny * 0.03::double - penalty')} as score, good, bad, tiny from x"""),
     "variant_notes": (variant_notes, """with s as (select case lang when 'en' then 'no_reviews' when 'de' then 'light_reviews' when 'fr' then 'medium_reviews' else lang end as variant, coalesce(avg(quality), 0) as c, avg((length(text) % 100) / 100) as h, count(*) filter (length(text) < 60) % 7 as tiny, count(*) filter (contains(text, '#')) % 11 as noise from documents left join labels using (doc_id) group by 1),
  p as (select * from s where variant = 'no_reviews'), l as (select * from s where variant = 'light_reviews'), m as (select * from s where variant = 'medium_reviews')
  select (select variant from s order by c + h - 0.02 * tiny - 0.002 * noise - case when variant = 'medium_reviews' then 0.03 else 0.0 end desc, variant limit 1) as recommended, case when l.c - p.c >= 0 and l.h - p.h >= -0.01 then 'light helps or preserves' else 'light may hurt' end as light_note, case when m.noise > l.noise or m.c - l.c < -0.02 then 'medium is noisier' else 'medium adds no obvious noise' end as medium_note from p, l, m"""),
