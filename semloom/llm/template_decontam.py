@@ -43,7 +43,7 @@ def valued(text):
     s = F.regexp_replace(text, f" *[{NUMBER}-{UNIT}\\t-\\r\\x85\\xa0\\u2028\\u2029][{NUMBER}-{UNIT}\\t-\\r\\x85\\xa0\\u2028\\u2029 ]*| {{2,}}", " ")
     s = F.regexp_replace(s, r"[0-9]+", f" {NUMBER}$0 ")
     s = F.regexp_replace(s, r" (?<=[\p{L},;:] )(?=\p{Lu}\p{Ll})", f" {NAME}")
-    s = F.regexp_replace(F.lower(s), rf"(?<={NAME}[\p{{L}}'’-]{{1,40}}) {NAME}", "")  # names that follow each other are one
+    s = F.regexp_replace(F.lower(s), rf" {NAME}(?<={NAME}[\p{{L}}'’-]{{1,40}} {NAME})", "")  # names that follow each other are one; the place comes first, then the look back
     s = F.regexp_replace(s, f"({NUMBER}[0-9]+ {{1,3}})(?=(?:{UNITS})(?![\\p{{L}}]))", f"$1{UNIT}")
     words = F.split(F.regexp_replace(s, rf"[^\p{{L}}\p{{N}} {NUMBER}-{UNIT}]+", " "), " ")
     return F.filter(words, lambda w: w != "")
