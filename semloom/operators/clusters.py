@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.functions.vectors import cosine, doubles, unit
+from semloom.operators.staging import few, kept
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -35,7 +36,7 @@ def coherence(vectors: DataFrame) -> DataFrame:
 
 def representatives(vectors: DataFrame, top: int = 8) -> DataFrame:
     """(cluster, id, sim, rank): members nearest to their cluster's mean of raw vectors; ties by id."""
-    joined = vectors.join(F.broadcast(centroid_arrays(vectors)), "cluster")  # a row per cluster
+    joined = vectors.join(few(kept(centroid_arrays(vectors))), "cluster")  # a row per cluster: broadcast while they are few
     sim = joined.select("cluster", "id", cosine(doubles("embedding"), F.col("centroid")).alias("sim"))
     order = Window.partitionBy("cluster").orderBy(F.desc("sim"), "id")
     return sim.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)

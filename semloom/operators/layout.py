@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.operators.relational import top_per_key
+from semloom.operators.staging import few
 
 
 def bounds(points: DataFrame, key: str) -> DataFrame:
@@ -21,7 +22,7 @@ def scaled_radii(sizes: DataFrame, radius: float, fill: float, least: float) ->
 def centroid_affinity(centers: DataFrame, m: int = 6) -> DataFrame:
     """(a, b, w): each cluster's m nearest others with weight by rank and distance; centers (cluster, cx, cy), one row per cluster."""
     b = centers.select(F.col("cluster").alias("b"), F.col("cx").alias("bx"), F.col("cy").alias("by"))
-    pairs = centers.select(F.col("cluster").alias("a"), "cx", "cy").join(F.broadcast(b), F.col("a") != F.col("b"))
+    pairs = centers.select(F.col("cluster").alias("a"), "cx", "cy").join(few(b), F.col("a") != F.col("b"))
     d = pairs.select("a", "b", F.sqrt((F.col("cx") - F.col("bx")) ** 2 + (F.col("cy") - F.col("by")) ** 2).alias("d"))
     near = top_per_key(d, ["a"], [F.col("d"), F.col("b")], m)
     scale = F.max("d").over(Window.partitionBy("a"))
