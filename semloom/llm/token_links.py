@@ -6,7 +6,7 @@ every B token. An id pair's count is the number of documents that hold it, copie
 summed with the texts' multiplicity. Counts come back once a group of packs (see packs.py), and the measures go to all doc_ids of a text by its
 SHA-256. Measures of texts that hold a 1 / HOT part of all rows or more, fewer than HOT by counting, are broadcast, so that no copies meet in one task.
 
-Tokens don't run over the places packs.py cuts at, so pieces of text are encoded once and kept by each worker, KEPT at most, then anew.
+Tokens don't run over the places packs.py cuts at, so pieces of text are encoded once and kept by each worker, KEPT or KEPT_PLAIN at most, then anew.
 
 Null and empty texts, and texts whose tokens don't give space + text again (as with U+2581 in them), have no tokens: zeros and an empty string. Rows
 of null or equal doc_id keep a row each. Empty tables give no rows. Extra columns are ignored.
@@ -14,6 +14,7 @@ of null or equal doc_id keep a row each. Empty tables give no rows. Extra column
 
 from __future__ import annotations
 
+import json
 import os
 from hashlib import sha256
 
@@ -23,17 +24,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from semloom.llm.common import small_batches, text_of, written
-from semloom.llm.packs import beside_facts, by_group, packed, pieces_of, unpacked
+from semloom.llm.packs import ODD_END, beside_facts, by_group, packed, pieces_of, unpacked
 from semloom.llm.token_cache import Ragged, WordTable
 
 BYTE_LEVEL, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
-KEPT = 500_000
+KEPT = 300_000
+KEPT_PLAIN = 450_000  # where the groups aren't written out
 HOT = 10_000
 SHIFT = 20  # a pair is its A id in the upper bits and its B id in the lower ones
 LEAD = b" x"
 COUNTS = ["n_a", "n_b", "n_groups", "n_links"]
 
 
+#: Fixed value: how byte-level vocabularies part a text before they merge.
+PARTS = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
+
 def byte_of_letter() -> dict[str, int]:
     """Byte-level vocabularies write visible Latin-1 bytes as themselves and the others, in order, as letters from U+0100 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,18 +62,39 @@ class Vocabularies:
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for word, i in self.a.get_vocab(with_added_tokens=False).items():
             self.a_bytes[i] = bytes(letters[c] for c in word)
+        self.quick = self.by_ranks(byte_level)
         self.b_bytes = [
             bytes([int(self.b.id_to_piece(i)[3:-1], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode()
             for i in range(self.b.get_piece_size())
         ]
+        def ended(n, mark):
+            return np.array([b"%d%s" % (i, mark) for i in range(n)], object)
+
+        a, b = len(self.a_bytes), len(self.b_bytes)
+        self.a_shown, self.a_last, self.b_shown, self.b_last = ended(a, b","), ended(a, b"|"), ended(b, b","), ended(b, b";")
+        self.a_width, self.b_width = (np.array([len(x) for x in v], np.int64) for v in (self.a_shown, self.b_shown))
         self.a_sizes, self.b_sizes = (np.array([len(x) for x in v], np.int64) for v in (self.a_bytes, self.b_bytes))
 
-    def encode_a(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.a.encode_batch_fast(texts, add_special_tokens=False)]
+    def by_ranks(self, byte_level: str):
+        """A cheaper encoder of the same vocabulary for ASCII texts, where its ids are in the order of its merges, as its merging by ranks asks for; else None."""
+        import tiktoken
 
-    def encode_b(self, texts: list[str]) -> list[list[int]]:
-        """Ids of texts that begin with a space; the model adds it."""
-        return self.b.encode([t[1:] for t in texts], num_threads=1)
+        with open(byte_level) as f:
+            model = json.load(f)["model"]
+        merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+        if any(model["vocab"].get(a + b) != 256 + i for i, (a, b) in enumerate(merges)):
+            return None
+        ranks = {x: i for i, x in enumerate(self.a_bytes) if x}
+        return tiktoken.Encoding("ranks", pat_str=PARTS, mergeable_ranks=ranks, special_tokens={})
+
+    def encode_a(self, text: str) -> list[int]:
+        if self.quick and text.isascii():
+            return self.quick.encode_ordinary(text)
+        return self.a.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def encode_b(self, text: str) -> list[int]:
+        """Ids of a text that begins with a space; the model adds it."""
+        return self.b.encode(text[1:])
 
 
 def split_ids(ids: np.ndarray, sizes: np.ndarray, ends: np.ndarray) -> np.ndarray | None:
@@ -86,17 +113,17 @@ def align(a: np.ndarray, b: np.ndarray, a_ends: np.ndarray, b_ends: np.ndarray)
 class Aligner:
     """Per piece of text: its links, the number of its tokens, groups and links, and its groups written out."""
 
-    def __init__(self, byte_level: str, pieces: str):
-        self.vocabularies = Vocabularies(byte_level, pieces)
+    def __init__(self, byte_level: str, pieces: str, shown: bool = True):
+        self.vocabularies, self.show = Vocabularies(byte_level, pieces), shown
         self.reset()
 
     def reset(self):
-        self.table, self.links, self.shown = WordTable(), Ragged(np.int64), []
+        self.table, self.links, self.shown = WordTable(), Ragged(np.int64), Ragged(np.uint8)
         self.sums, self.fits = np.zeros((1 << 14, 4), np.int64), np.ones(1 << 14, bool)
 
     def rows(self, texts: list[list[bytes]]) -> list[np.ndarray]:
         """Rows of each text's pieces."""
-        if self.table.full(KEPT):
+        if self.table.full(KEPT if self.show else KEPT_PLAIN):
             self.reset()
         out = [self.table.rows(t) for t in texts]
         if fresh := self.table.fresh:
@@ -108,10 +135,11 @@ class Aligner:
         first = self.links.grow(len(fresh))
         while first + len(fresh) > len(self.sums):
             self.sums, self.fits = np.concatenate([self.sums, np.zeros_like(self.sums)]), np.concatenate([self.fits, np.ones_like(self.fits)])
-        self.shown += [b""] * len(fresh)
-        plain = [i for i, p in enumerate(fresh) if p[:1] in b" \n\t" and p[-1] > 32 and pieces_of(p + b" ") == [p, b" "]]
-        for i in range(0, len(plain), 2000):
-            self.take(first, fresh, plain[i : i + 2000])
+        self.shown.grow(len(fresh))
+        plain = [i for i, p in enumerate(fresh) if p[0] in b" \n\t" and (32 < p[-1] < 127 or p[-1] > 127 and not ODD_END.search(p))]
+        for same in ([i for i in plain if fresh[i].isascii()], [i for i in plain if not fresh[i].isascii()]):
+            for i in range(0, len(same), 2000):
+                self.take(first, fresh, same[i : i + 2000])
         for i in sorted(set(range(len(fresh))) - set(plain)):
             self.take(first, fresh, [i])
 
@@ -120,7 +148,7 @@ class Aligner:
         v = self.vocabularies
         raw = LEAD + b"".join([fresh[i] for i in part])
         text, ends = raw.decode(), np.cumsum([len(LEAD), *(len(fresh[i]) for i in part)])
-        a, b = (np.array(x[0], np.int64) for x in (v.encode_a([text]), v.encode_b([text])))
+        a, b = np.array(v.encode_a(text), np.int64), np.array(v.encode_b(text), np.int64)
         same = b"".join([v.b_bytes[i] for i in b]) == raw and b"".join([v.a_bytes[i] for i in a]) == raw
         sizes = [split_ids(x, s, ends) for x, s in ((a, v.a_sizes), (b, v.b_sizes))] if same else [None]
         if any(s is None for s in sizes):
@@ -145,25 +173,28 @@ class Aligner:
         n_links = np.bincount(of, weights=each, minlength=len(part)).astype(np.int64)
         self.links.put(rows, links, n_links)
         self.sums[rows] = np.stack([sizes[0], sizes[1], np.bincount(of, minlength=len(part)), n_links], 1)
-        self.write(rows, a.tolist(), b.tolist(), na.tolist(), nb.tolist(), of.tolist())
+        if self.show:
+            self.write(rows, a, b, ga, gb, na, nb, of)
 
-    def write(self, rows, a, b, na, nb, of):
-        a, b, x, y = list(map(str, a)), list(map(str, b)), 0, 0
-        shown = [[] for _ in rows]
-        for n, m, piece in zip(na, nb, of):
-            shown[piece].append((a[x] if n == 1 else ",".join(a[x : x + n])) + "|" + (b[y] if m == 1 else ",".join(b[y : y + m])))
-            x, y = x + n, y + m
-        for row, groups in zip(rows.tolist(), shown):
-            self.shown[row] = ";".join(groups).encode()
+    def write(self, rows, a, b, ga, gb, na, nb, of):
+        """The groups of each piece as text: A's ids, a bar, B's ids, and a semicolon behind each group."""
+        v, flat = self.vocabularies, np.empty(len(a) + len(b), object)
+        last_a, last_b = np.diff(ga, append=-1) != 0, np.diff(gb, append=-1) != 0
+        flat[np.arange(len(a)) + (np.cumsum(nb) - nb)[ga]] = np.where(last_a, v.a_last[a], v.a_shown[a])
+        flat[np.arange(len(b)) + np.cumsum(na)[gb]] = np.where(last_b, v.b_last[b], v.b_shown[b])
+        sizes = np.bincount(of[ga], weights=v.a_width[a], minlength=len(rows)) + np.bincount(of[gb], weights=v.b_width[b], minlength=len(rows))
+        self.shown.put(rows, np.frombuffer(b"".join(flat.tolist()), np.uint8), sizes.astype(np.int64))
 
 
 _ALIGNERS: dict[tuple, Aligner] = {}
 
 
-def aligner(paths: tuple[str, str]) -> Aligner:
-    if paths not in _ALIGNERS:
-        _ALIGNERS[paths] = Aligner(*paths)
-    return _ALIGNERS[paths]
+def aligner(paths: tuple[str, str], shown: bool = True) -> Aligner:
+    """This worker's aligner; only the last one is kept."""
+    if (paths, shown) not in _ALIGNERS:
+        _ALIGNERS.clear()
+        _ALIGNERS[paths, shown] = Aligner(*paths, shown)
+    return _ALIGNERS[paths, shown]
 
 
 def spaced(raw: bytes) -> list[bytes]:
@@ -187,7 +218,7 @@ def pair_sums(packs: DataFrame, paths: tuple[str, str]) -> DataFrame:
         return pairs, sums
 
     def work(batches):
-        made, now, held = aligner(paths), None, []
+        made, now, held = aligner(paths, shown=False), None, []
         for batch in batches:
             for gid, pack in zip(batch.column("gid").to_pylist(), batch.column("pack")):
                 if gid != now:
@@ -241,7 +272,7 @@ def measures(packs: DataFrame, counted: DataFrame, paths: tuple[str, str]) -> Da
                 np.cumsum(each[inverse], 0, out=sums[1:])
                 ends = np.concatenate([[0], np.cumsum([len(x) for x in at])])
                 sums = sums[ends[1:]] - sums[ends[:-1]]
-                shown = [sha256(b";".join([made.shown[i] for i in x.tolist()])).hexdigest() if len(x) else "" for x in at]
+                shown = [sha256(made.shown.gather(x)[:-1]).hexdigest() if len(x) else "" for x in at]
                 columns = [rows["key"].combine_chunks(), *(pa.array(c) for c in sums.T), pa.array(shown, pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
