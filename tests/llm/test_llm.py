@@ -353,6 +353,24 @@ def test_line_dedup_matches_brute_force(spark, hot):
     assert all(got[i, j].keep for i, j, t in flat if not t)
 
 
+def test_crowded_blocks_lose_no_link(spark):
+    """Pairs that meet on one block alone, which 20 lines share: more than hot."""
+    r = np.random.default_rng(5)
+    ends = ["".join(chr(97 + int(c)) for c in r.integers(0, 26, 12)) for _ in range(10)]
+    docs = spark.createDataFrame(list(enumerate(f"ab cd ef gh {e[:-1]}{x}" for e in ends for x in "01")), "doc_id long, text string")
+    group = {g.doc_id: g.group for g in fuzzy_lines.line_groups(docs, 3).collect()}
+    assert [group[i] == group[i + 1] for i in range(0, 20, 2)] == [True] * 10 and len(set(group.values())) == 10
+
+
+def test_far_lines_by_their_words_can_be_near(spark):
+    """Every other word wrong by one letter: no two words in a row are common, the distance is small."""
+    w = [f"{a}{b}xyz" for a in "abcdefgh" for b in "abcdefgh"]
+    x, y = " ".join(w), " ".join(["new", *(v.replace("xyz", "xya") if i % 2 else v for i, v in enumerate(w)), "wordlets"])
+    d = int(0.2 * len(y))
+    got = spark.createDataFrame([(x, y, d)], "x string, y string, d int").withColumn("s", fuzzy_lines.similar(F.col("x"), F.col("y"), F.col("d"))).first()
+    assert got.s and edit(x, y) <= d
+
+
 def test_line_dedup_of_null_and_repeated_ids(spark):
     a, b = prose(1), prose(2)
     rows = [(None, a), (None, b), (7, f"{a}\n{b}\nnew line here"), (7, f"{a}\n{b}\nnew line here"), (7, ""), (8, None)]
