@@ -371,6 +371,27 @@ def test_far_lines_by_their_words_can_be_near(spark):
     assert got.s and edit(x, y) <= d
 
 
+@pytest.mark.parametrize("hot", [3, 2000])
+def test_lines_with_a_passage_alone_in_common_make_no_pairs(spark, monkeypatch, hot):
+    """Of 20 lines that share ten words of 40, and two near ones, only the near ones are held against each other."""
+    passage, own = prose(3, 10), lambda i: " ".join(f"w{i}x{k}" for k in range(30))
+    rows = [f"{passage} {own(i)}" for i in range(20)]
+    docs, made, real = spark.createDataFrame(list(enumerate([*rows, rows[0] + " more"])), "doc_id long, text string"), [], fuzzy_lines.verified
+    monkeypatch.setattr(fuzzy_lines, "verified", lambda pairs, text: made.append(pairs.count()) or real(pairs, text))
+    group = {g.doc_id: g.group for g in fuzzy_lines.line_groups(docs, hot).collect()}
+    assert group[0] == group[20] and len(set(group.values())) == 20 and sum(made) <= 2
+
+
+def test_sketches_bound_common_words_from_above(spark):
+    r = np.random.default_rng(8)
+    lines = [" ".join(f"v{k}" for k in r.integers(0, 90, int(r.integers(1, 400)))) for _ in range(40)]
+    got = {g.h: g for g in fuzzy_lines.sketched(spark.createDataFrame(list(enumerate(lines)), "h long, norm string")).collect()}
+    for a, b in itertools.permutations(range(40), 2):
+        x, y = set(lines[a].split()), set(lines[b].split())
+        alone = sum(((got[a][f"s{k}"] & ~got[b][f"s{k}"]) & (2**64 - 1)).bit_count() for k in range(fuzzy_lines.SKETCH))
+        assert got[a].n == len(x) and len(x & y) <= got[a].n - alone <= len(x)
+
+
 def test_line_dedup_of_null_and_repeated_ids(spark):
     a, b = prose(1), prose(2)
     rows = [(None, a), (None, b), (7, f"{a}\n{b}\nnew line here"), (7, f"{a}\n{b}\nnew line here"), (7, ""), (8, None)]
