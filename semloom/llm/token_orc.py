@@ -32,7 +32,7 @@ TAIL = ".,!?;:%$&*#|"
 #: TAIL marks behind an ASCII letter or digit or a Latin-1 letter (two bytes of UTF-8), at the end of a word.
 BEHIND = re.compile(rb"[.,!?;:%$&*#|](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:%$&*#|]*(?=\s|\Z)")
 JOINED = 256  # letter pieces in a call
-HELD = 112 << 20  # bytes in a worker's cache before it starts anew: what pieces take, with OBJECT bytes for each
+HELD = 192 << 20  # bytes in a worker's cache before it starts anew: what pieces take, with OBJECT bytes for each
 OBJECT = 150
 STRIPE = 16 << 20
 ROWS = 1000
@@ -64,6 +64,16 @@ class Encoder:
         """Letters alone, also once the vocabulary has normalised them (lower-casing may give combining marks)."""
         return text.isalpha() and (text.isascii() or self.model.normalizer is None or self.model.normalizer.normalize_str(text).isalpha())
 
+    def all_letters(self, texts: list[str]) -> list[bool]:
+        """letters() of each text, the normaliser called once for all; one by one where its spaces don't stay those between the texts."""
+        out = [t.isalpha() for t in texts]
+        odd = [i for i, t in enumerate(texts) if out[i] and not t.isascii()]
+        if odd and self.model.normalizer is not None:
+            made = self.model.normalizer.normalize_str(" ".join([texts[i] for i in odd])).split(" ")
+            for i, x in zip(odd, (m.isalpha() for m in made) if len(made) == len(odd) else (self.letters(texts[i]) for i in odd)):
+                out[i] = x
+        return out
+
     def parts(self, text: str) -> list[str]:
         """The piece, or its letters and the TAIL marks behind them."""
         body = text.rstrip(TAIL)
@@ -72,7 +82,7 @@ class Encoder:
     def learn(self, raw: list[bytes]) -> None:
         fresh = [r.decode("utf-8", "replace") for r in raw]
         first = self.ids.grow(len(fresh))
-        plain = np.array([self.letters(p) or not p.strip(TAIL) for p in fresh])
+        plain = np.array([x or not p.strip(TAIL) for p, x in zip(fresh, self.all_letters(fresh))])
         odd = np.flatnonzero(~plain)
         plain = np.flatnonzero(plain)
         groups = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]

@@ -543,6 +543,17 @@ def test_token_ids_equal_the_library_on_random_texts():
         assert sizes.tolist() == [len(x) for x in want] and ids.tolist() == list(itertools.chain.from_iterable(want))
 
 
+def test_letters_are_told_for_all_pieces_at_once_as_one_by_one():
+    import public_tokenizers
+
+    encoder = token_orc.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    r = np.random.default_rng(12)
+    letters = list("abZéßİŞǅﬁΣ한가e\u0301\u0327\u00a0\u3000\ufdfa१٣1.-")
+    texts = ["".join(r.choice(letters, int(r.integers(1, 6)))) for _ in range(5000)]
+    for part in (texts, texts[:7], [t for t in texts if t.isalpha()], [t for t in texts if t.isalpha() and "İ" not in t], ["İ"], []):
+        assert encoder.all_letters(part) == [encoder.letters(t) for t in part]
+
+
 def test_token_cache_is_bounded_by_bytes(monkeypatch):
     monkeypatch.setattr(token_orc, "HELD", 20_000)
     encoder = token_orc.Encoder(public_tokenizers.path("word_bpe_49k.json"))
