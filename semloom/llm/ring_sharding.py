@@ -67,8 +67,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, bound: float | None = None, vn
     at, owners = ring(shards, vnodes)
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     where = F.pmod(F.xxhash64(key, F.lit("place")), F.lit(RING))
-    # the first point at or after the position, found by halving; past the last one it wraps to the first
-    arc = F.expr(_search(at, "_at"))
+    arc = _search(at, F.col("_at"))
     keyed = docs.withColumn("_at", where).withColumn("_come", F.xxhash64(key, *[F.col(c) for c in ("text_crc32",) if c in docs.columns], F.lit("arrival")))
     keyed = keyed.withColumn("_arc", arc).withColumn("_slice", F.pmod(F.col("_come"), F.lit(SLICES)).cast("int"))
     seen = keyed.groupBy("_slice", "_arc").count().collect()  # at most SLICES x shards x vnodes rows
@@ -82,7 +81,7 @@ def shard_rows(docs: DataFrame, shards: int = 24, bound: float | None = None, vn
     ranked = keyed.withColumn("_n", F.row_number().over(order).cast("long") - 1)
     dealt = ranked.join(F.broadcast(table), ["_arc", "_slice"])  # bounded like the histogram
     to = F.element_at(F.filter("_to", lambda x: x["_rank"] <= F.col("_n")), -1)
-    home = F.element_at(F.array(*[F.lit(s) for s in owners]), F.col("_arc") + 1)
+    home = F.get(_numbers(owners, "int"), F.col("_arc"))
     return dealt.withColumn("_to", to).select(
         *[c for c in docs.columns if c not in ("shard", "slot", "home")],
         F.col("_to.shard").alias("shard"),
@@ -91,16 +90,17 @@ def shard_rows(docs: DataFrame, shards: int = 24, bound: float | None = None, vn
     )
 
 
-def _search(at: list[int], col: str) -> str:
-    """SQL for the index of the first point >= col, wrapping to 0, as a balanced tree of comparisons."""
+def _numbers(values: list[int], kind: str):
+    """An array column of these numbers. Spark folds it to one literal; an expression for each number makes plans of tens of thousands of characters and a large heap on the driver."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast(f"array<{kind}>")
 
-    def tree(lo: int, hi: int) -> str:
-        if lo == hi:
-            return str(lo % len(at))
-        mid = (lo + hi) // 2
-        return f"if({col} <= {at[mid]}L, {tree(lo, mid)}, {tree(mid + 1, hi)})"
 
-    return tree(0, len(at))
+def _search(at: list[int], col):
+    """The index of the first of the sorted points that is >= col, found by halving; past the last one it wraps to the first."""
+    points = _numbers(at, "bigint")
+    strides = _numbers([1 << k for k in reversed(range(len(at).bit_length()))], "int")
+    below = F.aggregate(strides, F.lit(0), lambda n, s: F.when(F.get(points, n + s - 1) < col, n + s).otherwise(n))  # no point: null, which isn't below
+    return F.pmod(below, F.lit(len(at)))
 
 
 def sizes(docs: DataFrame) -> DataFrame:
