@@ -13,7 +13,6 @@ An empty table gives an empty folder and no rows. Extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from itertools import accumulate, chain
 
@@ -29,11 +28,12 @@ from semloom.llm.token_cache import Ragged, WordTable
 VOCABULARY = "word_bpe_49k.json"
 END = 2
 TAIL = ".,!?;:%$&*#|"
-#: TAIL marks behind an ASCII letter or digit or a Latin-1 letter (two bytes of UTF-8), at the end of a word.
-BEHIND = re.compile(rb"[.,!?;:%$&*#|](?:(?<=[A-Za-z0-9].)|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf].))[.,!?;:%$&*#|]*(?=\s|\Z)")
+#: Kinds of bytes.
+SPACES, MARKS, PLAIN, LATIN = (np.isin(np.arange(256), list(x)) for x in (b" \t\n\r\x0b\x0c", TAIL.encode(), b"0123456789abcdefghijklmnopqrstuvwxyz", {*range(0x80, 0xC0)} - {0x97, 0xB7}))
 JOINED = 256  # letter pieces in a call
 HELD = 192 << 20  # bytes in a worker's cache before it starts anew: what pieces take, with OBJECT bytes for each
 OBJECT = 150
+RUN = 4 << 20  # bytes of text whose pieces are looked up at once
 STRIPE = 16 << 20
 ROWS = 1000
 SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids array<int>"
@@ -105,16 +105,47 @@ class Encoder:
         """(ids of all texts one after the other, each closed by end; their sizes)."""
         if self.held > HELD:
             self.reset()
-        pieces = [BEHIND.sub(rb" \g<0>", r.lower()).split() for r in raws]
-        rows = self.pieces.rows(list(chain.from_iterable(pieces)))
+        pieces, counts = cut(raws)
+        pieces = pieces.dictionary_encode()  # each distinct piece of the run is looked up once
+        rows = self.pieces.rows(bytes_of(pieces.dictionary))[pieces.indices.to_numpy()]
         if self.pieces.fresh:
             self.learn(self.pieces.fresh)
             self.pieces.fresh = []
-        ends = np.concatenate([[0], np.cumsum(self.ids.sizes[rows], dtype=np.int64)])[np.cumsum([len(w) for w in pieces])]
+        ends = np.concatenate([[0], np.cumsum(self.ids.sizes[rows], dtype=np.int64)])[np.cumsum(counts)]
         ids = np.insert(self.ids.gather(rows), ends, end)
         return ids, np.diff(ends, prepend=0) + 1
 
 
+def cut(raws: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """(pieces of all texts in lower case, one after the other; how many each text has).
+
+    Words are cut at ASCII white space, and before TAIL marks at their end that stand behind an ASCII letter or digit or a Latin-1 letter (two bytes of UTF-8)."""
+    joined = np.frombuffer(b"\n" + b"\n".join(raws).lower() + b"\n", np.uint8)
+    space = SPACES[joined]
+    inside = ~space
+    starts, ends = (np.flatnonzero(x[:-1] & y[1:]) + 1 for x, y in ((space, inside), (inside, space)))
+    body = ends.copy()  # where the marks at a word's end begin
+    marked = np.flatnonzero(MARKS[joined[ends - 1]])
+    other = np.flatnonzero(~MARKS[joined])  # white space before each word included
+    body[marked] = other[np.searchsorted(other, ends[marked]) - 1] + 1
+    last = joined[body - 1]
+    apart = (body < ends) & (PLAIN[last] | ((joined[body - 2] == 0xC3) & LATIN[last]))
+    is_piece = np.stack([np.ones_like(apart), apart], 1).ravel()
+    sizes = np.stack([np.where(apart, body, ends) - starts, ends - body], 1).ravel()[is_piece]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    firsts = np.cumsum([1, *(len(r) + 1 for r in raws)])  # where texts begin
+    before = np.concatenate([[0], np.cumsum(1 + apart)])[np.searchsorted(starts, firsts)]
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(joined[inside])]), np.diff(before)
+
+
+def bytes_of(column: pa.Array) -> list[bytes]:
+    """The values of a binary array without nulls; to_pylist() takes ten times as long."""
+    _, offsets, data = column.buffers()
+    at = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].tolist()
+    raw = data.to_pybytes() if data else b""
+    return [raw[a:b] for a, b in zip(at, at[1:])]
+
+
 def by_bytes(raws: list[bytes], most: int = 1 << 20):
     """Runs of texts of about `most` bytes, so that a batch of long ones isn't split into words at once."""
     run, size = [], 0
@@ -140,7 +171,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str, end: int = END) -> No
             _ENCODERS[vocabulary] = Encoder(vocabulary)
         encoder, part, start = _ENCODERS[vocabulary], TaskContext.get().partitionId(), 0
         for batch in batches:
-            made = [encoder.encode(run, end) for run in by_bytes(batch.column("text").cast(pa.binary()).to_pylist())]
+            made = [encoder.encode(run, end) for run in by_bytes(batch.column("text").cast(pa.binary()).to_pylist(), RUN)]
             sizes = np.concatenate([np.zeros(0, np.int64), *(x for _, x in made)])
             ends = np.concatenate([[0], np.cumsum(sizes)])
             flat = pa.array(np.concatenate([np.zeros(0, np.int32), *(x for x, _ in made)]))
