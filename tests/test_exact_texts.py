@@ -10,3 +10,9 @@ def test_values_to_redact_keep_their_digits(spark):
     values = X.redaction_values(F.array("a", "b", "c", F.lit("the3")))
     assert row.select(values.alias("v")).first().v == ["src22", "src1", "the3"]
     assert row.select(X.redact(F.lit("x src1 desrcy"), values).alias("t")).first().t == "x desrcy"
+
+
+def test_tokens_of_twenty_words_are_27(spark):
+    words = spark.range(1, 400).select(F.col("id").cast("int").alias("n"), F.repeat(F.lit("a "), F.col("id").cast("int")).alias("t"))
+    for r in words.select("n", X.token_estimate(F.col("t")).alias("tokens")).collect():
+        assert r.tokens == max(1, -(-r.n * 135 // 100)), r.n
