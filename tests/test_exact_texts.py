@@ -39,3 +39,14 @@ def test_costs_equal_their_sql(spark, tmp_path):
     for name, queries in (("token_cost", text_queries.QUERIES), ("variant_cost", audit_queries.QUERIES)):
         query, sql = queries[name]
         assert difference(query(spark, at), sql, at) == ""
+
+
+def test_hash_of_letters_equals_its_sql(spark, tmp_path):
+    from compare import difference
+
+    from semloom.plans.labelling_queries import QUERIES
+
+    texts = [None, "", " ", "      x", "a b c d e f g", "é x", "🙂 a", "a 🇩🇪 👨‍👩‍👧 b", "\uffff\U0010ffff"]
+    at = small_tables(spark, tmp_path, spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    query, sql = QUERIES["fnv_hash"]
+    assert difference(query(spark, at), sql, at) == ""
