@@ -77,3 +77,13 @@ def test_odd_tables(spark):
 def test_models_that_do_not_rest_are_an_error(data):
     with pytest.raises(RuntimeError):
         sweep.fit(data, [6], rounds=1)
+
+
+def test_models_that_need_many_rounds_come_to_rest(spark):
+    x = np.random.default_rng(3).normal(size=(4000, 32))
+    data = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).coalesce(1)
+    made = sweep.fit(data, [5])
+    assert made.rounds[5] > 61 and made.clusters.agg(F.sum("n")).first()[0] == 4000
+    want = lloyd(data, 5)
+    mine = {r.id: r.cluster for r in made.assignments().collect()}
+    assert len({(mine[i], want[i]) for i in want}) == 5
