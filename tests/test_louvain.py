@@ -56,3 +56,11 @@ def test_at_least_label_propagation_on_the_neighbour_graph(spark, sf):
     other = N.modularity(graph, communities(graph)).first().modularity
     assert risen[-1] >= other and N.modularity(graph, found).first().modularity == pytest.approx(risen[-1])
     graph.unpersist()
+
+
+def test_rounds_write_no_tables_and_equal_plain_moves(spark, monkeypatch):
+    written, kept = [], L.kept
+    monkeypatch.setattr(L, "kept", lambda df: written.append(df) or kept(df))
+    edges = planted(6, 12, 0.6, 0.02)
+    _, risen = L.louvain(spark.createDataFrame(edges, SCHEMA))
+    assert len(written) <= 2 + 2 * (len(risen) + 1)  # a level's graph and its packs, however many its rounds
