@@ -35,3 +35,9 @@ def test_methods_in_the_order_asked_for(data):
     assert rows[1].entities == 80 and rows[1].clusters == 4
     with pytest.raises(ValueError):
         M.compare(data, ["other"])
+
+
+def test_a_method_of_many_rounds_gives_its_row(spark):
+    x = np.random.default_rng(3).normal(size=(4000, 32))
+    row = M.compare(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], SCHEMA).coalesce(1), ["lloyd"], k=5).first()
+    assert (row.method, row.entities, row.clusters) == ("lloyd", 4000, 5)
