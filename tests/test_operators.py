@@ -9,6 +9,7 @@ from semloom.functions import text as X
 from semloom.operators import clusters as C
 from semloom.operators import layout as L
 from semloom.operators import neighbors as N
+from semloom.operators.staging import kept_in_batches
 from semloom.operators import relational as R
 from semloom.operators import rules as S
 from semloom.operators import search as B
@@ -93,3 +94,22 @@ def test_search_and_geometry(spark):
     p = spark.createDataFrame([(1, 0.0, 0.0), (2, 1.0, 1.0)], "id long, x double, y double")
     q = spark.createDataFrame([(9, 0.1, 0.0), (8, 5.0, 5.0)], "probe long, px double, py double")
     assert [(r.probe, r.id) for r in L.hits(p, q, 0.5).collect()] == [(9, 1)]
+
+
+def test_blocks_grow_with_the_table_and_python_gets_few_pairs_at_a_time(spark):
+    assert N.block_size(10_000) == 2048 and N.block_size(300_000) == 7500 and N.block_size(3_000_000) == 16_384
+    assert all((n / N.block_size(n)) ** 2 / 2 <= 810 for n in (50_000, 200_000, 600_000))  # pairs of blocks, each of which is shuffled
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, seen = spark.conf.get(name), []
+
+    class Pairs:
+        sparkSession = spark
+
+        @property
+        def write(self):
+            seen.append(spark.conf.get(name))
+            raise RuntimeError
+
+    with pytest.raises(RuntimeError):
+        kept_in_batches(Pairs(), 4)
+    assert seen == ["4"] and spark.conf.get(name) == before
