@@ -47,3 +47,11 @@ def test_hash_wrap_runtime_and_year(spark):
     assert [r.l for r in lines] == [["one two", "three"], ["extraordinarily", "long"], [""]]
     rows = spark.createDataFrame([(None, None, None), (45, 1999, "2001-02-03"), (125, None, "2001-02-03"), (0, None, "")], "m int, y int, d string")
     assert [tuple(r) for r in rows.select(X.runtime_text(F.col("m")), X.year_text(F.col("y"), F.col("d"))).collect()] == [("", "Unknown year"), ("45 min", "1999"), ("2h 5m", "2001"), ("", "Unknown year")]
+
+
+def test_the_full_selection_finds_neighbours_once(spark, sf, monkeypatch):
+    from semloom.plans import labelling_queries as Q
+
+    asked, nearest = [], Q.N.nearest
+    monkeypatch.setattr(Q.N, "nearest", lambda *a: asked.append(a) or nearest(*a))
+    assert Q.selection_full(spark, sf).count() == 1 and len(asked) == 1
