@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from semloom.functions.vectors import doubles, unit
-from semloom.operators.staging import kept
+from semloom.operators.staging import kept, kept_in_batches
 
 #: Rows that the centers are fitted on, at most: the first by a hash of the id. All rows are indexed.
 FIT = 200_000
 #: Centers at most, so that they can be broadcast.
 CELLS = 16_384
 PACK = 1024
+#: Rows of a query and a cell that Python yields at a time; pairs of packs that it gets at a time.
+ASKED, PAIRS = 20_000, 8
 EDGE = 1e-9
 
 
@@ -64,6 +66,14 @@ def build(vectors: DataFrame, cells: int | None = None, seed: int = 42, rounds:
     return Index(centers, placed.select("id", "cell", "embedding"), radius)
 
 
+def _parts(batches, cells: int):
+    """The rows of batches, so few at a time that each times its cells is ASKED at most."""
+    step = max(1, ASKED // cells)
+    for pdf in batches:
+        for at in range(0, len(pdf), step):
+            yield pdf.iloc[at : at + step]
+
+
 def _packs(rows: DataFrame, names: list[str]) -> DataFrame:
     """(cell, rows): rows of a cell in packs of about PACK, dealt by a hash of the id, so a cell of any size is many packs."""
     sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / PACK).alias("packs"))
@@ -103,7 +113,8 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 def _probe(index: Index, queries: DataFrame, k: int, packs: DataFrame) -> DataFrame:
     """The k best of queries (id, cell, embedding) among the members of their cells."""
     asked = _packs(queries, ["id", "embedding"]).withColumnRenamed("rows", "q")
-    return _best(asked.join(packs.withColumnRenamed("rows", "b"), "cell"), k)
+    found = _best(asked.join(packs.withColumnRenamed("rows", "b"), "cell"), k)
+    return kept_in_batches(_ranked(found, k).drop("rank"), PAIRS)
 
 
 def search(index: Index, queries: DataFrame, k: int, probes: int = 8, exact: bool = False) -> DataFrame:
@@ -119,7 +130,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, exact: boo
     probes = min(probes, len(index.centers))
 
     def near(batches):
-        for pdf in batches:
+        for pdf in _parts(batches, probes):
             sims = np.array(pdf["embedding"].tolist(), np.float64) @ sent.value[0].T
             cells = np.argpartition(-sims, probes - 1, axis=1)[:, :probes]
             at = np.repeat(np.arange(len(pdf)), probes)
@@ -136,7 +147,7 @@ def search(index: Index, queries: DataFrame, k: int, probes: int = 8, exact: boo
     more = rows.join(seen, "id").join(worst, rows.id == worst.src, "left").select("id", "embedding", "seen", F.when(F.col("n") == k, F.col("least")).alias("least"))
 
     def further(batches):
-        for pdf in batches:
+        for pdf in _parts(batches, len(sent.value[0])):
             centers, radius = sent.value
             x = np.array(pdf["embedding"].tolist(), np.float64)
             angle = np.arccos(np.clip(x @ centers.T, -1, 1))

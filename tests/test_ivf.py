@@ -1,6 +1,7 @@
 """The inverted-file index against all pairs."""
 
 import numpy as np
+import pandas as pd
 
 from semloom.operators import ivf
 from semloom.operators.neighbors import nearest
@@ -81,3 +82,10 @@ def test_tuned_probes_reach_the_recall_on_the_given_table(spark, sf):
     grouped = ivf.build(spark.createDataFrame(cloud(800, 28, spread=0.02), SCHEMA))
     assert ivf.tuned_probes(grouped, 5) <= 3
     assert ivf.tuned_probes(ivf.build(spark.createDataFrame([], SCHEMA)), 5) == 1
+
+
+def test_python_yields_few_rows_of_a_query_and_a_cell_at_a_time():
+    pdf = pd.DataFrame({"id": range(1000)})
+    parts = list(ivf._parts([pdf, pdf[:0]], 300))
+    assert max(len(p) * 300 for p in parts) <= ivf.ASKED and [i for p in parts for i in p["id"]] == list(range(1000))
+    assert [len(p) for p in ivf._parts([pdf[:2]], 10**6)] == [1, 1]
